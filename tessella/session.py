@@ -44,7 +44,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(str(archive))
-    shutil.rmtree(stage, ignore_errors=True)
+    atexit.register(shutil.rmtree, stage, ignore_errors=True)  # executors fetch it from the driver while it runs
     _SHIPPED.add(sc.applicationId)
 
 
