@@ -8,8 +8,8 @@ verified on the words. Sizes are put in classes, each at most 1/threshold wide,
 class and the next, whose radius and number of blocks both sides share. So no pair over the threshold is missed.
 
 Equal word sets are one class of documents and are hashed once. A variant that more than ``HOT`` sets emit (a block of
-only frequent words) isn't paired: its sets emit it again joined with their variants under another cut into blocks, where
-the same guarantee holds, and so on for up to ``DEPTH`` cuts; what is left then is paired as it is.
+only frequent words) isn't paired as it is: its sets meet only where they also share one of the words that, by corpus
+frequency, are the rarest n - ceil(threshold * n) + 1 of each set, as any pair over the threshold does.
 
 Defined results for unusual input: null and wordless texts are no case; null ids are left out; an id with several texts
 holds for each of them; repeated rows count once; empty tables give empty results; further columns are ignored.
@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
@@ -33,7 +33,6 @@ from tessella.session import materialise
 
 THRESHOLD = 0.8
 HOT = 200
-DEPTH = 4
 _U = np.uint64
 
 
@@ -81,13 +80,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction, cut: int) -> tuple[np.ndarray, np.ndarray]:
+def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) of all variants; hashes: the word hashes of all sets in a row, sizes: how many each set has."""
     sets, keys = [], []
     owner = np.repeat(np.arange(len(sizes)), sizes)
     kinds = {int(n): class_of_size(threshold, int(n)) for n in np.unique(sizes) if n}
     own = np.array([kinds.get(int(n), -1) for n in sizes])
-    spread = _mix(hashes + _U((2 * cut + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    spread = _mix(hashes)
     for up in (0, 1):
         level = own + up
         blocks = np.array([blocks_of_class(threshold, int(k)) if k >= up else 1 for k in level])
@@ -97,7 +96,7 @@ def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction, cut: in
         np.add.at(total, slot, hashes)
         holder = np.repeat(np.arange(len(sizes)), blocks)
         number = np.arange(len(total)) - first[holder] if len(total) else np.empty(0, dtype=int)
-        salt = _mix((level[holder].astype(np.uint64) << _U(32)) + (number.astype(np.uint64) << _U(8)) + _U(cut + 1))
+        salt = _mix((level[holder].astype(np.uint64) << _U(32)) + (number.astype(np.uint64) << _U(8)))
         real = sizes[holder] > 0
         sets += [holder[real], owner]
         keys += [_mix(total ^ salt)[real], _mix((total[slot] - hashes) ^ salt[slot])]
@@ -121,18 +120,14 @@ def word_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, wid bigint, n int, words array<string>")
 
 
-def _emit(threshold: Fraction, cut: int):
-    """key, wid, n of the variants; where a row has an earlier key, the two are joined."""
+def _emit(threshold: Fraction):
+    """key, wid, n of the variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
-            flat = lists.flatten().to_pylist()
+            flat = b.column(2).flatten().to_pylist()
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat), dtype=np.uint64, count=len(flat))
-            sizes = np.asarray(b.column(1)).astype(np.int64)
-            at, keys = variants(hashes, sizes, threshold, cut)
-            if b.num_columns > 3:
-                keys = _mix(keys + np.asarray(b.column(3)).view(np.uint64)[at] * _U(3))
+            at, keys = variants(hashes, np.asarray(b.column(1)).astype(np.int64), threshold)
             for lo in range(0, len(at), 200_000):
                 part = pa.array(at[lo : lo + 200_000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), b.column(0).take(part), b.column(1).take(part)], names=["key", "wid", "n"])
@@ -140,27 +135,35 @@ def _emit(threshold: Fraction, cut: int):
     return run
 
 
+def _rare_words(sets: DataFrame, t: Fraction) -> DataFrame:
+    """wid, word: of each set its rarest words, one of which any set over the threshold shares."""
+    each = sets.select("wid", "n", F.explode("words").alias("word"))
+    order = Window.partitionBy("wid").orderBy("df", "word")
+    share = F.expr(f"n - (n * {t.numerator} + {t.denominator - 1}) div {t.denominator} + 1")
+    return each.join(each.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("wid", "word")
+
+
+def _meeting(rows: DataFrame, keys: list[str], t: Fraction) -> DataFrame:
+    """Pairs of sets of fitting sizes that share the keys."""
+    a, b = rows.select(*keys, F.col("wid").alias("wid_a"), F.col("n").alias("n_a")), rows.select(*keys, F.col("wid").alias("wid_b"), F.col("n").alias("n_b"))
+    near = (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
+    return a.join(b, keys).where(near & (F.col("wid_a") < F.col("wid_b"))).select("wid_a", "wid_b")
+
+
 def class_pairs(sets: DataFrame, threshold: float = THRESHOLD, hot: int | None = None) -> DataFrame:
     """wid_a < wid_b of distinct word sets (wid, n, words) whose Jaccard similarity is threshold or more."""
     t = Fraction(threshold).limit_denominator(1000)
-    hot = HOT if hot is None else hot
-    found, source = None, sets.select("wid", "n", "words")
-    for cut in range(DEPTH):
-        emitted = materialise(source.mapInArrow(_emit(t, cut), "key bigint, wid bigint, n int"), f"variants{cut}")
-        last = cut == DEPTH - 1
-        crowded = None if last else materialise(emitted.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded")
-        more = crowded is not None and not crowded.isEmpty()
-        rows = emitted.join(crowded, "key", "left_anti") if more else emitted
-        a, b = rows.select("key", F.col("wid").alias("wid_a"), F.col("n").alias("n_a")), rows.select("key", F.col("wid").alias("wid_b"), F.col("n").alias("n_b"))
-        near = (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
-        p = a.join(b, "key").where(near & (F.col("wid_a") < F.col("wid_b"))).select("wid_a", "wid_b")
-        found = p if found is None else found.unionAll(p)
-        if not more:
-            break
-        source = emitted.join(crowded, "key", "left_semi").distinct().join(sets.select("wid", "words"), "wid").select("wid", "n", "words", "key")
-    pairs = found.distinct()
+    rows = materialise(sets.select("wid", "n", "words").mapInArrow(_emit(t), "key bigint, wid bigint, n int"), "variants")
+    crowded = materialise(rows.groupBy("key").count().where(F.col("count") > (HOT if hot is None else hot)).select("key"), "crowded")
+    if crowded.isEmpty():
+        pairs = _meeting(rows, ["key"], t)
+    else:
+        pairs = _meeting(rows.join(crowded, "key", "left_anti"), ["key"], t)
+        held = materialise(rows.join(crowded, "key", "left_semi").distinct(), "held")
+        rare = _rare_words(sets.join(held.select("wid").distinct(), "wid", "left_semi"), t)
+        pairs = pairs.unionAll(_meeting(materialise(held.join(rare, "wid"), "refined"), ["key", "word"], t))
     x, y = sets.select(F.col("wid").alias("wid_a"), F.col("words").alias("x")), sets.select(F.col("wid").alias("wid_b"), F.col("words").alias("y"))
-    both = pairs.join(x, "wid_a").join(y, "wid_b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = pairs.distinct().join(x, "wid_a").join(y, "wid_b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("common") * t.denominator >= (F.size("x") + F.size("y") - F.col("common")) * t.numerator).select("wid_a", "wid_b")
 
 
