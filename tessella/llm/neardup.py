@@ -32,7 +32,7 @@ from tessella.llm.components import components
 from tessella.session import materialise
 
 THRESHOLD = 0.8
-HOT = 200
+HOT = 64
 _U = np.uint64
 
 
@@ -103,6 +103,14 @@ def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tupl
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of each set, of which every word flips one: two sets differ in no more bits than words."""
+    bits = _U(1) << (_mix(hashes ^ _U(0x5851F42D4C957F2D)) >> _U(58))
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(sizes)), sizes), bits)
+    return out
+
+
 def word_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, wid, n, words: the word set of every text that has one."""
 
@@ -121,16 +129,18 @@ def word_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _emit(threshold: Fraction):
-    """key, wid, n of the variants."""
+    """key, wid, n, sketch of the variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(2).flatten().to_pylist()
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat), dtype=np.uint64, count=len(flat))
-            at, keys = variants(hashes, np.asarray(b.column(1)).astype(np.int64), threshold)
+            sizes = np.asarray(b.column(1)).astype(np.int64)
+            at, keys = variants(hashes, sizes, threshold)
+            sketch = pa.array(sketches(hashes, sizes).view(np.int64))
             for lo in range(0, len(at), 200_000):
                 part = pa.array(at[lo : lo + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), b.column(0).take(part), b.column(1).take(part)], names=["key", "wid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), b.column(0).take(part), b.column(1).take(part), sketch.take(part)], names=["key", "wid", "n", "sketch"])
 
     return run
 
@@ -144,16 +154,17 @@ def _rare_words(sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _meeting(rows: DataFrame, keys: list[str], t: Fraction) -> DataFrame:
-    """Pairs of sets of fitting sizes that share the keys."""
-    a, b = rows.select(*keys, F.col("wid").alias("wid_a"), F.col("n").alias("n_a")), rows.select(*keys, F.col("wid").alias("wid_b"), F.col("n").alias("n_b"))
-    near = (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
-    return a.join(b, keys).where(near & (F.col("wid_a") < F.col("wid_b"))).select("wid_a", "wid_b")
+    """Pairs of sets that share the keys and whose sketches lie within the largest distance for their sizes."""
+    a, b = (rows.select(*keys, F.col("wid").alias(f"wid_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    p, q = t.numerator, t.denominator
+    most = f"n_a + n_b - 2 * (((n_a + n_b) * {p} + {p + q - 1}) div {p + q})"
+    return a.join(b, keys).where("wid_a < wid_b").where(f"bit_count(sketch_a ^ sketch_b) <= {most}").select("wid_a", "wid_b")
 
 
 def class_pairs(sets: DataFrame, threshold: float = THRESHOLD, hot: int | None = None) -> DataFrame:
     """wid_a < wid_b of distinct word sets (wid, n, words) whose Jaccard similarity is threshold or more."""
     t = Fraction(threshold).limit_denominator(1000)
-    rows = materialise(sets.select("wid", "n", "words").mapInArrow(_emit(t), "key bigint, wid bigint, n int"), "variants")
+    rows = materialise(sets.select("wid", "n", "words").mapInArrow(_emit(t), "key bigint, wid bigint, n int, sketch bigint"), "variants")
     crowded = materialise(rows.groupBy("key").count().where(F.col("count") > (HOT if hot is None else hot)).select("key"), "crowded")
     if crowded.isEmpty():
         pairs = _meeting(rows, ["key"], t)
