@@ -182,7 +182,10 @@ def solved(eligible: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFram
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return solve_pool(key, left, right, seed)
 
-    return cells.groupBy("curation_id").cogroup(wanted.groupBy("curation_id")).applyInPandas(run, _SOLVED)
+    # the partitions are named, as small ones would be merged into one task by their bytes, and solving takes time
+    tasks = int(eligible.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = cells.repartition(tasks, "curation_id"), wanted.repartition(tasks, "curation_id")
+    return left.groupBy("curation_id").cogroup(right.groupBy("curation_id")).applyInPandas(run, _SOLVED)
 
 
 def unreachable(instances: DataFrame, decisions: DataFrame, reports: DataFrame, targets: DataFrame) -> DataFrame:
