@@ -73,6 +73,12 @@ def adjusted_jaccard(a: Column, b: Column, vocabulary: Column, eps: float = EPSI
     return F.when((F.size(a) > 0) & (F.size(b) > 0) & (vocabulary > 0) & (most - chance >= eps), (jaccard(a, b) - chance) / (most - chance))
 
 
+def adjusted(j: Column, size_a: Column, size_b: Column, chance: Column, eps: float = EPSILON) -> Column:
+    """As adjusted_jaccard, from the Jaccard value and its chance value."""
+    most = F.least(size_a, size_b) / F.greatest(size_a, size_b)
+    return F.when(j.isNotNull() & (most - chance >= eps), (j - chance) / (most - chance))
+
+
 def is_degenerate(a: Column, b: Column, vocabulary: Column, eps: float = EPSILON) -> Column:
     """Whether both sides hold something and yet the adjusted value is undefined."""
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0), F.lit(False)) & adjusted_jaccard(a, b, vocabulary, eps).isNull()
@@ -106,18 +112,18 @@ def composites(pairs: dict[str, Column]) -> dict[str, Column]:
     return {"er": mean_defined(four[:2]), "ep": mean_defined(four[2:]), "n_pairs": F.size(F.array_compact(F.array(*four)))}
 
 
-def adjusted_score(sets: dict[str, Column], vocabulary: Column, eps: float = EPSILON) -> dict[str, Column]:
-    """er, ep, rp, ecs_adj, complete, n_components and n_degenerate of adjusted pairs."""
-    aj = lambda x, y: adjusted_jaccard(sets[x], sets[y], vocabulary, eps)
-    er, ep, rp = mean_defined([aj("H", "R"), aj("RO", "R")]), mean_defined([aj("H", "CF"), aj("RO", "CF")]), aj("R", "CF")
+def adjusted_score(aj: dict[str, Column], filled: dict[str, Column]) -> dict[str, Column]:
+    """er, ep, rp, ecs_adj, complete, n_components and n_degenerate from adjusted pairs; filled: whether both sides of a
+    pair hold something."""
+    er, ep, rp = mean_defined([aj["H_R"], aj["R_RO"]]), mean_defined([aj["H_CF"], aj["CF_RO"]]), aj["R_CF"]
     parts = F.size(F.array_compact(F.array(er, ep, rp)))
-    bad = [is_degenerate(sets[x], sets[y], vocabulary, eps).cast("int") for x, y in (("H", "R"), ("RO", "R"), ("H", "CF"), ("RO", "CF"), ("R", "CF"))]
+    bad = [(filled[k] & aj[k].isNull()).cast("int") for k in ("H_R", "R_RO", "H_CF", "CF_RO", "R_CF")]
     return {"er_adj": er, "ep_adj": ep, "rp_adj": rp, "ecs_adj": mean_defined([er, ep, rp]), "ecs_adj_complete": parts == 3, "n_components": parts, "n_degenerate": reduce(lambda x, y: x + y, bad)}
 
 
-def random_score(sets: dict[str, Column], vocabulary: Column) -> Column:
-    """Mean of the exact chance values over the five pairs that are defined."""
-    return mean_defined([_sided(sets[x], sets[y], expected_jaccard(F.size(sets[x]), F.size(sets[y]), vocabulary)) for x, y in PAIRS if (x, y) != ("H", "RO")])
+def random_score(chance: dict[str, Column]) -> Column:
+    """Mean of the exact chance values (null where a side is empty) over the five pairs without H_RO."""
+    return mean_defined([c for k, c in chance.items() if k != "H_RO"])
 
 
 def rank_biased_overlap(a: Column, b: Column, p: float = 0.9) -> Column:
