@@ -20,7 +20,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = r"""
 WITH w AS (
   SELECT DISTINCT instance_id, lower(trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')) AS word
-  FROM (SELECT instance_id, unnest(regexp_split_to_array(text, '[\s   -     　\u0085]+')) AS w FROM instances WHERE text IS NOT NULL)
+  FROM (SELECT instance_id, unnest(regexp_split_to_array(text, '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS w FROM instances WHERE text IS NOT NULL)
 ), k AS (SELECT instance_id, word FROM w WHERE word <> ''),
 n AS (SELECT instance_id, count(*) AS n FROM k GROUP BY 1),
 c AS (SELECT a.instance_id AS a, b.instance_id AS b, count(*) AS c FROM k a JOIN k b ON a.word = b.word AND a.instance_id < b.instance_id GROUP BY 1, 2)
