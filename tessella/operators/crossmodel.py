@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import measures as m
+from tessella.functions.stage import settled
 
 
 def model_pairs(rows: DataFrame) -> DataFrame:
@@ -18,8 +19,8 @@ def model_pairs(rows: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform("models", lambda a, i: F.transform(F.slice("models", i + 2, F.size("models")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     long = held.select("dataset", "instance_id", F.explode(pairs).alias("p")).select("dataset", "instance_id", "p.a", "p.b", F.posexplode("p.a.sets").alias("i", "x"))
     long = long.select("dataset", "instance_id", F.col("x.strategy").alias("strategy"), F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("x.tokens").alias("ta"), F.col("b.sets")[F.col("i")]["tokens"].alias("tb"), F.greatest("a.vocabulary", "b.vocabulary").alias("v"))
-    long = long.withColumn("v", F.greatest("v", F.size(F.array_union("ta", "tb")))).withColumn("jaccard", m.jaccard(F.col("ta"), F.col("tb")))
-    long = long.withColumn("chance", F.when(F.col("jaccard").isNotNull(), m.expected_jaccard(F.size("ta"), F.size("tb"), F.col("v"))))
+    long = settled(long.withColumn("v", F.greatest("v", F.size(F.array_union("ta", "tb")))), {"jaccard": m.jaccard(F.col("ta"), F.col("tb"))})
+    long = settled(long, {"chance": F.when(F.col("jaccard").isNotNull(), m.expected_jaccard(F.size("ta"), F.size("tb"), F.col("v")))})
     return long.select("dataset", "instance_id", "strategy", "model_a", "model_b", "jaccard", m.adjusted(F.col("jaccard"), F.size("ta"), F.size("tb"), F.col("chance")).alias("aj"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import measures as m
+from tessella.functions.stage import settled
 
 # Which event type stands in for which strategy.
 EVENT_STRATEGIES = {"click": "H", "view": "R", "purchase": "CF", "signup": "RO"}
@@ -47,11 +48,11 @@ def measured(rows: DataFrame) -> DataFrame:
     s, v = sets_of(), F.col("vocabulary")
     filled = {f"{x}_{y}": (F.size(x) > 0) & (F.size(y) > 0) for x, y in m.PAIRS}
     chance = {f"{x}_{y}": F.when(filled[f"{x}_{y}"], m.expected_jaccard(F.size(x), F.size(y), v)) for x, y in m.PAIRS}
-    out = rows.withColumns({**{f"jaccard_{k}": c for k, c in m.pairwise_jaccard(s).items()}, **{f"overlap_{k}": c for k, c in m.pairwise_overlap(s).items()}, **{f"chance_{k}": c for k, c in chance.items()}, "n_valid": m.n_valid(s)})
+    out = settled(rows, {**{f"jaccard_{k}": c for k, c in m.pairwise_jaccard(s).items()}, **{f"overlap_{k}": c for k, c in m.pairwise_overlap(s).items()}, **{f"chance_{k}": c for k, c in chance.items()}, "n_valid": m.n_valid(s)})
     j, o, e = ({k: F.col(f"{p}_{k}") for k in chance} for p in ("jaccard", "overlap", "chance"))
-    out = out.withColumns({f"aj_{x}_{y}": m.adjusted(j[f"{x}_{y}"], F.size(x), F.size(y), e[f"{x}_{y}"]) for x, y in m.PAIRS})
+    out = settled(out, {f"aj_{x}_{y}": m.adjusted(j[f"{x}_{y}"], F.size(x), F.size(y), e[f"{x}_{y}"]) for x, y in m.PAIRS})
     comp = m.composites(j)
-    out = out.withColumns({"ecs": m.flat_score(j, F.col("n_valid")), "ecs_overlap": m.flat_score(o, F.col("n_valid")), "ecs_er": comp["er"], "ecs_ep": comp["ep"], "ecs_primary_pairs": comp["n_pairs"], **m.adjusted_score({k: F.col(f"aj_{k}") for k in chance}, filled), "ecs_random": m.random_score(e)})
+    out = settled(out, {"ecs": m.flat_score(j, F.col("n_valid")), "ecs_overlap": m.flat_score(o, F.col("n_valid")), "ecs_er": comp["er"], "ecs_ep": comp["ep"], "ecs_primary_pairs": comp["n_pairs"], **m.adjusted_score({k: F.col(f"aj_{k}") for k in chance}, filled), "ecs_random": m.random_score(e)})
     core = list(s.values())
-    out = out.withColumns({"ecs_lift": F.col("ecs") - F.col("ecs_random"), "kendall": m.kendall_tau(F.col("h_rank"), F.col("ro_rank")), "rbo": m.rank_biased_overlap(F.col("h_rank"), F.col("ro_rank")), "cc3": m.consensus_core(core, 3), "cc4": m.consensus_core(core, 4), "short_vocab": v <= 20})
+    out = settled(out, {"ecs_lift": F.col("ecs") - F.col("ecs_random"), "kendall": m.kendall_tau(F.col("h_rank"), F.col("ro_rank")), "rbo": m.rank_biased_overlap(F.col("h_rank"), F.col("ro_rank")), "cc3": m.consensus_core(core, 3), "cc4": m.consensus_core(core, 4), "short_vocab": v <= 20})
     return out.withColumn("kendall_normalized", m.normalized_tau(F.col("kendall")))
