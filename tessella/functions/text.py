@@ -57,8 +57,8 @@ def normalize(c: Column, stopwords: list[str] | None = None) -> Column:
     """Normal form of one word; null for stopwords and discourse words, polarity words always stay. Lemmas are joined
     by the caller (``operators.normalise``)."""
     w = F.btrim(F.lower(F.btrim(F.regexp_replace(c, r"(?i)\[SEP\]", ""))), F.lit(v.PUNCTUATION))
-    drop = _lit_array([*(stopwords or v.NORMALISER_STOPWORDS), *v.DISCOURSE_WORDS])
-    return F.when(w == "", None).when(F.array_contains(_lit_array(v.POLARITY_WORDS), w), w).when(F.array_contains(drop, w), None).otherwise(w)
+    drop = {*(stopwords or v.NORMALISER_STOPWORDS), *v.DISCOURSE_WORDS} - set(v.POLARITY_WORDS)
+    return F.when((w != "") & ~w.isin(*sorted(drop)), w)
 
 
 def normalize_tokens(tokens: Column) -> Column:

@@ -88,8 +88,9 @@ def highlighting(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
 def rationale(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
     """rows with rationale, r_tokens (content words of it that stand in the text, in order) and r_error."""
     out = settled(with_object(rows, reply), {"rationale": F.nullif(_typed("_obj", "$.rationale", "STRING"), F.lit("")), "_in": tx.input_words(F.col(text))})
-    polarity, drop = F.array(*[F.lit(w) for w in v.POLARITY_WORDS]), F.array(*[F.lit(w) for w in [*v.PARSER_STOPWORDS, *v.DISCOURSE_WORDS]])
-    keep = F.filter(tx.stripped_words(F.col("rationale")), lambda w: F.array_contains(polarity, w) | ((F.length(w) > 1) & ~F.array_contains(drop, w)))
+    drop = sorted({*v.PARSER_STOPWORDS, *v.DISCOURSE_WORDS} - set(v.POLARITY_WORDS))
+    short = [w for w in v.POLARITY_WORDS if len(w) == 1]
+    keep = F.filter(tx.stripped_words(F.col("rationale")), lambda w: ((F.length(w) > 1) | w.isin(*short, "")) & ~w.isin(*drop))
     out = settled(out, {"_t": F.filter(F.array_distinct(keep), lambda w: F.array_contains(F.col("_in"), w))})
     error = F.when(F.col(reply).isNull(), "no reply").when(F.col("_obj").isNull(), "no JSON object").when(F.col("rationale").isNull(), "no rationale").when(F.coalesce(F.size("_t"), F.lit(0)) <= 0, "nothing anchored")
     return out.withColumn("r_error", error).withColumn("r_tokens", F.when(F.col("r_error").isNull(), F.col("_t"))).drop("_obj", "_in", "_t")
@@ -104,8 +105,8 @@ def rank_ordering(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
     forms = F.filter(F.transform(single, lambda w: F.struct(w.alias("w"), tx.pre_normalize(w).alias("f"))), lambda e: e["f"] != "")
     out = settled(out, {"_forms": forms, "_in": tx.input_words(F.col(text))})
     first = F.filter("_forms", lambda e, i: F.array_position(F.transform("_forms", lambda q: q["f"]), e["f"]) == i + 1)
-    polarity, stop = F.array(*[F.lit(w) for w in v.POLARITY_WORDS]), F.array(*[F.lit(w) for w in v.PARSER_STOPWORDS])
-    kept = F.filter(first, lambda e: (F.array_contains(polarity, e["f"]) | ~F.array_contains(stop, e["f"])) & F.array_contains(F.col("_in"), e["f"]))
+    stop = sorted(set(v.PARSER_STOPWORDS) - set(v.POLARITY_WORDS))
+    kept = F.filter(first, lambda e: ~e["f"].isin(*stop) & F.array_contains(F.col("_in"), e["f"]))
     out = settled(out, {"_kept": F.transform(kept, lambda e: e["w"])})
     error = F.when(F.col(reply).isNull(), "no reply").when(F.col("_obj").isNull(), "no JSON object").when(F.coalesce(F.size("_items"), F.lit(0)) < 3, "under three items").when(F.size("_kept") < 3, "under three left")
     return out.withColumn("ro_error", error).withColumn("ro_ranking", F.when(F.col("ro_error").isNull(), F.col("_kept"))).drop("_obj", "_items", "_forms", "_in", "_kept")
