@@ -175,7 +175,7 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """group..., n, rho, p: rank correlation; (0, 1) under three rows or where a side is constant."""
     have = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     ranked = average_ranks(average_ranks(have, group, "_x", "_rx"), group, "_y", "_ry")
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r"), F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("r"), F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_y").alias("c"), F.max("_y").alias("d"))
     bad = (F.col("n") < 3) | (F.col("a") == F.col("b")) | (F.col("c") == F.col("d"))
     out = out.withColumn("rho", F.when(bad, 0.0).otherwise(F.col("r")))
     return out.select(*group, "n", "rho", F.when(bad, 1.0).otherwise(correlation_p(F.col("rho"), F.col("n"))).alias("p"))

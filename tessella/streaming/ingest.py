@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8, at: str = "ts") -> DataFrame:
+    """Parquet files as a stream; the event time as a timestamp with zone, which watermarks need."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows.withColumn(at, F.col(at).cast("timestamp"))
 
 
 def deduplicated(stream: DataFrame, key: str = "event_id", at: str = "ts", late: str = "1 day") -> DataFrame:
