@@ -80,3 +80,22 @@ def extremes(rows: DataFrame, n: int = 5, value: str = "ecs", group: str = "inst
 def unpivoted(rows: DataFrame, keys: list[str], values: list[str], name: str = "measure", value: str = "value") -> DataFrame:
     """One row per key and measure that is not null."""
     return rows.unpivot(keys, values, name, value).where(F.col(value).isNotNull())
+
+
+def sensitivity(rows: DataFrame, group: list[str]) -> DataFrame:
+    """group..., means and numbers of ecs and of the adjusted score over complete and over all available rows."""
+    full = F.col("ecs_adj_complete")
+    return rows.groupBy(*group).agg(
+        safe_mean("ecs").alias("mean_ecs"),
+        F.count("ecs").alias("n_ecs"),
+        mean_where("ecs_adj", full).alias("mean_complete"),
+        F.count(F.when(full, F.col("ecs_adj"))).alias("n_complete"),
+        safe_mean("ecs_adj").alias("mean_available"),
+        F.count("ecs_adj").alias("n_available"),
+    )
+
+
+def variant_delta(base: DataFrame, variant: DataFrame, key: str, group: list[str], value: str = "ecs") -> DataFrame:
+    """group..., n, mean_delta: the variant's value less the base's, over rows where both are defined; 0.0 for none."""
+    both = base.select(key, *group, F.col(value).alias("_b")).join(variant.select(key, F.col(value).alias("_v")), key)
+    return both.groupBy(*group).agg(F.count(F.col("_v") - F.col("_b")).alias("n"), safe_mean(F.col("_v") - F.col("_b")).alias("mean_delta"))

@@ -136,11 +136,11 @@ def counterfactual(rows: DataFrame, reply: str, label: str, labels: Column, text
     return out.withColumns({"cf_text": F.when(ok, F.col("_t")), "cf_label": F.when(ok, F.col("_p")), "cf_changed": F.when(ok, F.col("_d.changed")), "cf_ratio": F.col("_d.ratio")}).drop("_obj", "_tk", "_lk", "_t", "_p", "_a", "_b", "_sa", "_sb", "_d")
 
 
-def evidence_of_replies(results: DataFrame) -> DataFrame:
+def evidence_of_replies(results: DataFrame, max_ratio: float | None = MAX_EDIT_RATIO) -> DataFrame:
     """The wide evidence rows (H, R, CF, RO, h_rank, ro_rank, vocabulary) of replies: result_id, dataset, model,
-    instance_id. Replies that fail a gate give an empty set."""
+    instance_id. Replies that fail a gate give an empty set; without max_ratio free rewrites count as evidence, too."""
     rows = results.select("result_id", F.lower(F.trim("dataset")).alias("dataset"), F.lower(F.trim("model")).alias("model"), "instance_id", "text", "predicted_label", "raw_highlighting", "raw_rationale", "raw_counterfactual", "raw_rank_ordering")
-    rows = counterfactual(rank_ordering(rationale(highlighting(rows, "raw_highlighting"), "raw_rationale"), "raw_rank_ordering"), "raw_counterfactual", "predicted_label", label_set(F.col("dataset")))
+    rows = counterfactual(rank_ordering(rationale(highlighting(rows, "raw_highlighting"), "raw_rationale"), "raw_rank_ordering"), "raw_counterfactual", "predicted_label", label_set(F.col("dataset")), max_ratio=max_ratio)
     none = F.array().cast("array<string>")
     k = tx.dynamic_k(F.size(tx.stripped_words(F.col("text"))))
     rows = settled(rows, {"H": F.array_sort(F.coalesce("h_top", none)), "R": F.coalesce(tx.normalize_tokens(F.col("r_tokens")), none), "CF": F.coalesce(tx.normalize_tokens(F.col("cf_changed")), none), "ro_rank": F.coalesce(F.filter(F.transform("ro_ranking", lambda w: tx.normalize(w)), lambda w: w.isNotNull()), none), "h_rank": F.coalesce("h_top", none)})

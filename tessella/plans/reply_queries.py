@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import kernels
+from tessella.functions import text as tx
+from tessella.functions.measures import jaccard, minimality, symmetric_difference
 from tessella.operators import aggregate, erasure, evidence, parse, resample
 from tessella.session import materialise
+from tessella.sources import sinks
 from tessella.sources.tables import table
 
 
@@ -56,8 +59,6 @@ def weighted_null(spark, sf_dir):
     """Chance agreement of H and RO where words are drawn by their salience, and the lift over it."""
     r = _replies(spark, sf_dir).where("h_weights is not null and size(RO) > 0")
     c = kernels.weighted_chance(F.size("H"), F.size("RO"), F.col("h_weights"), F.xxhash64("result_id"))
-    from tessella.functions.measures import jaccard
-
     return r.select("result_id", F.round(c, 6).alias("chance"), F.round(jaccard(F.col("H"), F.col("RO")) - c, 6).alias("lift"))
 
 
@@ -74,8 +75,47 @@ def erasure_rates(spark, sf_dir):
     return erasure.rates(erasure.flips(r, erasure.known_predictions(table(spark, sf_dir, "instance_results"))))
 
 
+def erasure_gap_tests(spark, sf_dir):
+    """Flips of the consensus core less those of random words, tested per model and operator, with Holm correction."""
+    r = _replies(spark, sf_dir)
+    gaps = erasure.core_gaps(erasure.flips(r, erasure.known_predictions(table(spark, sf_dir, "instance_results"))))
+    return resample.holm(resample.sign_flip_test(gaps, ["model", "operator"], ["result_id", "operator"], "gap", least=6))
+
+
+def free_cf_sensitivity(spark, sf_dir):
+    """The scores with free rewrites as counterfactual evidence beside those with minimal ones."""
+    rows = table(spark, sf_dir, "instance_results")
+    out = None
+    for name, ratio in (("minimal", parse.MAX_EDIT_RATIO), ("free", None)):
+        m = evidence.measured(parse.evidence_of_replies(rows, ratio))
+        s = aggregate.sensitivity(m, ["model"]).withColumn("variant", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def ablation_delta(spark, sf_dir):
+    """Change of the score where counterfactual evidence is the symmetric difference of the two texts' word sets."""
+    base = _replies(spark, sf_dir)
+    differs = symmetric_difference(tx.token_set(F.col("text")), tx.token_set(F.col("cf_text")))
+    changed = base.withColumn("CF", F.when(F.col("cf_text").isNotNull(), tx.normalize_tokens(differs)).otherwise(F.col("CF")))
+    return aggregate.variant_delta(evidence.measured(base), evidence.measured(changed), "result_id", ["model", "dataset"])
+
+
+def cf_minimality(spark, sf_dir):
+    """Changed words per word of the text, per model, and how often the counterfactual passes all gates."""
+    rows = _replies(spark, sf_dir).withColumn("share", minimality(F.size("cf_changed"), F.size(tx.words(F.col("text")))))
+    return rows.groupBy("model").agg(F.round(F.avg("share"), 6).alias("minimality"), F.round(F.avg("cf_ratio"), 6).alias("edit_ratio"), F.round(aggregate.rate(F.col("cf_error").isNull()), 6).alias("valid_rate"))
+
+
+def execution_summary(spark, sf_dir):
+    return sinks.execution_summary(table(spark, sf_dir, "instance_results"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates)
+    for f in (erasure_gap_tests, free_cf_sensitivity, ablation_delta, cf_minimality, execution_summary, parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates)
+}
+ORACLE = {
+    "execution_summary": """SELECT count(*) AS rows, count(DISTINCT lower(trim(model))) AS models, count(DISTINCT dataset) AS datasets, count(*) FILTER (model_refused) AS refused,
+      sum(prompt_tokens)::bigint AS prompt_tokens, sum(response_tokens)::bigint AS response_tokens, min(recorded_at) AS first_at, max(recorded_at) AS last_at, floor(epoch(max(recorded_at) - min(recorded_at)))::bigint AS span_seconds FROM instance_results""",
 }
-ORACLE: dict[str, str] = {}
