@@ -27,4 +27,10 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
-ORACLE: dict[str, str] = {}
+# The SQL counts bytes: the tables' margins hold for any tokenizer, also for one whose tokens are bytes.
+ORACLE = {
+    "p7_found": """
+WITH t AS (SELECT lower(trim(source_name)) AS source_name, sum(target_weight) AS w, max(max_repeats) AS r FROM mix_targets GROUP BY 1),
+d AS (SELECT lower(trim(source)) AS source_name, sum(strlen(text)) AS n FROM documents GROUP BY 1)
+SELECT source_name FROM t LEFT JOIN d USING (source_name) WHERE coalesce(n, 0) * r < w * (SELECT sum(n) FROM d)"""
+}
