@@ -56,14 +56,16 @@ def pre_normalize(c: Column) -> Column:
 def normalize(c: Column, stopwords: list[str] | None = None) -> Column:
     """Normal form of one word; null for stopwords and discourse words, polarity words always stay. Lemmas are joined
     by the caller (``operators.normalise``)."""
-    w = F.btrim(F.lower(F.btrim(F.regexp_replace(c, r"(?i)\[SEP\]", ""))), F.lit(v.PUNCTUATION))
+    # the pattern only runs on the words that hold it; most calls are per word of a text
+    bare = F.when(F.contains(F.upper(c), F.lit("[SEP]")), F.regexp_replace(c, r"(?i)\[SEP\]", "")).otherwise(c)
+    w = F.btrim(F.lower(F.btrim(bare)), F.lit(v.PUNCTUATION))
     drop = {*(stopwords or v.NORMALISER_STOPWORDS), *v.DISCOURSE_WORDS} - set(v.POLARITY_WORDS)
     return F.when((w != "") & ~w.isin(*sorted(drop)), w)
 
 
-def normalize_tokens(tokens: Column) -> Column:
-    """Sorted set of the normal forms of an array's words; multi-word items are split."""
-    parts = F.flatten(F.transform(tokens, lambda t: F.split(F.btrim(t), _WS)))
+def normalize_tokens(tokens: Column, split: bool = True) -> Column:
+    """Sorted set of the normal forms of an array's words; multi-word items are split unless there are none."""
+    parts = F.flatten(F.transform(tokens, lambda t: F.split(F.btrim(t), _WS))) if split else tokens
     return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda w: normalize(w)), lambda w: w.isNotNull())))
 
 

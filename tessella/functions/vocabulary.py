@@ -7,18 +7,24 @@ DISCOURSE_WORDS = (
     "entailment contradiction entail contradict premise hypothesis us u"
 ).split()
 # Negation contractions, with and without apostrophe, and their stems.
-_NEGATED = "do does did is are was were wo would ca could should sha must need has have had ai dare might".split()
-NEGATION_CONTRACTIONS = ["n't", "nt", "cannot", *[f"{w}n't" for w in _NEGATED], *[f"{w}nt" for w in _NEGATED], *[f"{w}n" for w in _NEGATED if w != "ca"]]
+NEGATION_CONTRACTIONS = (
+    "n't nt cannot "
+    "don't doesn't didn't isn't aren't wasn't weren't won't wouldn't can't couldn't shouldn't shan't mustn't needn't hasn't haven't hadn't ain't daren't mightn't "
+    "dont doesnt didnt isnt arent wasnt werent wont wouldnt cant couldnt shouldnt shant mustnt neednt hasnt havent hadnt aint darent mightnt "
+    "don doesn didn isn aren wasn weren won wouldn couldn shouldn shan mustn needn hasn haven hadn ain daren mightn"
+).split()
 # Words that carry polarity and are always kept.
 POLARITY_WORDS = ["no", "not", "never", "nor", "neither", "none", "nobody", "nothing", "nowhere", "every", "some", "any", "all", *NEGATION_CONTRACTIONS]
 # The normaliser's stopwords where no larger list is at hand.
-_COMMON_STOPWORDS = (
+NORMALISER_STOPWORDS = (
     "a an the and or but in on at to for of with by from up about into over after is are was were be been being have has had do does did will would can could shall "
-    "should may might i you he she it we they me him her us them my your his its our their this that these those"
+    "should may might i you he she it we they me him her us them my your his its our their this that these those very just then than so too also now here there"
 ).split()
-NORMALISER_STOPWORDS = [*_COMMON_STOPWORDS, *"very just then than so too also now here there".split()]
 # The parser's own, different list.
-PARSER_STOPWORDS = [*_COMMON_STOPWORDS, "not", "no", "nor"]
+PARSER_STOPWORDS = (
+    "a an the and or but in on at to for of with by from up about into over after is are was were be been being have has had do does did will would can could shall "
+    "should may might i you he she it we they me him her us them my your his its our their this that these those not no nor"
+).split()
 # Phrases by which a reply counts as refused.
 REFUSAL_PHRASES = [
     "i cannot",

@@ -74,15 +74,16 @@ def highlighting(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
     out = settled(with_object(rows, reply), {"_e": F.array_compact(entries), "_in": tx.input_words(F.col(text))})
     good = F.filter("_e", lambda e: (e["score"] >= 1) & tx.is_single_word(e["word"]) & (F.btrim(e["word"], F.lit(_PADDING)) != "") & F.array_contains(F.col("_in"), tx.pre_normalize(e["word"])))
     out = settled(out, {"_n": F.filter(F.transform(good, lambda e: F.struct(tx.normalize(e["word"]).alias("word"), e["score"].alias("score"))), lambda e: e["word"].isNotNull())})
-    words = F.array_distinct(F.transform("_n", lambda e: e["word"]))
-    best = F.transform(words, lambda w: F.struct(w.alias("word"), F.array_max(F.transform(F.filter("_n", lambda e: e["word"] == w), lambda e: e["score"])).alias("score")))
-    out = settled(out, {"_best": best})
+    # sorted by word and falling score, the first of each word has its largest score
+    out = settled(out, {"_s": F.array_sort(F.transform("_n", lambda e: F.struct(e["word"].alias("word"), (-e["score"]).alias("o"))))})
+    lead = F.filter("_s", lambda e, i: (i == 0) | (F.get(F.col("_s"), i - 1)["word"] != e["word"]))
+    out = settled(out, {"_best": F.transform(lead, lambda e: F.struct(e["word"].alias("word"), (-e["o"]).alias("score")))})
     error = F.when(F.col(reply).isNull(), "no reply").when(F.col("_obj").isNull(), "no JSON object").when(F.coalesce(F.size("_e"), F.lit(0)) <= 0, "no salience").when(F.size("_best") < 2, "under two entries")
     ranked = F.transform(F.array_sort(F.transform("_best", lambda e: F.struct((-e["score"]).alias("o"), e["word"].alias("word")))), lambda e: e["word"])
     k = tx.dynamic_k(F.size(tx.stripped_words(F.col(text))), F.size("_best"))
     out = out.withColumn("h_error", error)
     ok = F.col("h_error").isNull()
-    return out.withColumns({"h_top": F.when(ok, F.slice(ranked, 1, F.greatest(k, F.lit(1)))), "h_weights": F.when(ok, F.map_from_entries("_best"))}).drop("_obj", "_e", "_in", "_n", "_best")
+    return out.withColumns({"h_top": F.when(ok, F.slice(ranked, 1, F.greatest(k, F.lit(1)))), "h_weights": F.when(ok, F.map_from_entries("_best"))}).drop("_obj", "_e", "_in", "_n", "_s", "_best")
 
 
 def rationale(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
@@ -143,9 +144,9 @@ def evidence_of_replies(results: DataFrame, max_ratio: float | None = MAX_EDIT_R
     rows = counterfactual(rank_ordering(rationale(highlighting(rows, "raw_highlighting"), "raw_rationale"), "raw_rank_ordering"), "raw_counterfactual", "predicted_label", label_set(F.col("dataset")), max_ratio=max_ratio)
     none = F.array().cast("array<string>")
     k = tx.dynamic_k(F.size(tx.stripped_words(F.col("text"))))
-    rows = settled(rows, {"H": F.array_sort(F.coalesce("h_top", none)), "R": F.coalesce(tx.normalize_tokens(F.col("r_tokens")), none), "CF": F.coalesce(tx.normalize_tokens(F.col("cf_changed")), none), "ro_rank": F.coalesce(F.filter(F.transform("ro_ranking", lambda w: tx.normalize(w)), lambda w: w.isNotNull()), none), "h_rank": F.coalesce("h_top", none)})
+    rows = settled(rows, {"H": F.array_sort(F.coalesce("h_top", none)), "R": F.coalesce(tx.normalize_tokens(F.col("r_tokens"), split=False), none), "CF": F.coalesce(tx.normalize_tokens(F.col("cf_changed"), split=False), none), "ro_rank": F.coalesce(F.filter(F.transform("ro_ranking", lambda w: tx.normalize(w)), lambda w: w.isNotNull()), none), "h_rank": F.coalesce("h_top", none)})
     rows = settled(rows, {"RO": F.array_sort(F.array_distinct(F.slice("ro_rank", 1, F.greatest(F.coalesce(k, F.lit(3)), F.lit(1)))))})
-    own = F.coalesce(tx.normalize_tokens(tx.words(F.col("text"))), none)
+    own = F.coalesce(tx.normalize_tokens(tx.words(F.col("text")), split=False), none)
     return rows.withColumn("vocabulary", F.size(F.array_distinct(F.flatten(F.array(own, *[F.col(s) for s in measures.STRATEGIES])))))
 
 
