@@ -23,7 +23,10 @@ _FENCE_START = re.compile(r"^\s*```[\w+-]*[ \t]*(?:\r?\n|$)")
 _FENCE_END = re.compile(r"\s*```\s*$")
 _BOLD = re.compile(r"^\s*\*\*[^*\n]{1,40}\*\*\s*")
 _KEY = re.compile(r"""[{,]\s*["'“]?\s*([A-Za-z_][\w -]{0,40})["'”]?\s*:\s*""")
-_VALUE_END = re.compile(r"""\s*,?\s*\}[^{}]*$|["']\s*,\s*["'][A-Za-z_][\w -]{0,40}["']\s*:[^:{}]*\}?[^{}]*$""", re.S)
+_NEXT_KEY = re.compile(r"""["']\s*,\s*["'][A-Za-z_][\w -]{0,40}["']\s*:[^:{}]*\}?[^{}]*$""", re.S)
+_CHAIN = re.compile(r"\s>(?:\s|$)")
+#: Code points at the end in which a mark of a cut can stand; no mark is longer.
+_MARK_TAIL = 200
 _QUOTED = re.compile(r"""\\?["«„“‘'](?=\S|\s\S)[^"»“”’'\\«„\n]{1,40}\\?["»“”’'](?!\w)""")
 _STOP = re.compile(r"""[.!?。！？](?:\\?["'»”’)\]]|\s)*$""")
 _WORD = re.compile(r"[^\W_]+(?:['’/-][^\W_]+)*")
@@ -51,7 +54,7 @@ def _unescape(s: str) -> str:
 
 def read(value: str) -> Reply:
     core = value.rstrip()
-    mark = _MARK.search(core)
+    mark = _MARK.search(core, max(0, len(core) - _MARK_TAIL))
     if mark is not None:
         core = core[: mark.start()].rstrip()
     broken = (len(core) - len(core.rstrip("\\"))) % 2 == 1
@@ -69,7 +72,11 @@ def read(value: str) -> Reply:
         key = _KEY.match(body)
         content = body[key.end() :] if key else body[1:]
         if closed:
-            content = _VALUE_END.sub("", content)
+            more, brace = _NEXT_KEY.search(content), content.rfind("}")
+            if more is not None:
+                content = content[: more.start()]
+            elif brace >= 0:
+                content = content[:brace].rstrip().removesuffix(",")
         content = content.strip()
         if content[:1] in ("'", '"', "“"):
             quote = content[0]
@@ -105,11 +112,11 @@ def is_nothing(reply: Reply) -> bool:
 
 def _entry(content: str) -> tuple[bool, str] | None:
     """(another entry was begun, last entry) of a list in prose; None if it isn't one."""
-    if ">" in content:
+    if _CHAIN.search(content):
         parts = [p.strip() for p in _LIST_HEAD.sub("", content).split(">")]
         return parts[-1] == "", parts[-1]
     parts = [p.strip() for p in _ITEM.split(content)]
-    if len(parts) > 1:
+    if len(parts) > 1 and len(parts[-1].split()) <= 3:
         return parts[-1] == "" or bool(re.search(r"\n\s*\d{1,3}$", content)), parts[-1].split("\n")[0]
     return None
 

@@ -48,6 +48,7 @@ CASES = [
     ("raw_rationale", '{"rationale": "Say in a single sentence why Business was chosen."}', "echo"),
     ("raw_rationale", json.dumps({"rationale": TEXT.upper()}), "echo"),
     ("raw_rationale", PROMPTS["raw_rationale"], "echo"),
+    ("raw_rationale", "<single sentence>", "echo"),
     ("raw_rationale", '{"rationale": "Le texte a été classé Business parce que « brewery » donne le ton."}', "other_language"),
     ("raw_rationale", "Текст получил метку Business, потому что «port» задаёт тон.", "other_language"),
     ("raw_rationale", '{"rationale": "The words \\"brewery\\" and \\"po', "truncated"),

@@ -13,6 +13,7 @@ TEXT = "With nimble direction the tale comforts even casual fans."
 @pytest.mark.parametrize(
     ("value", "verdict"),
     [
+        ("Ranking: fans > tale >", 1),
         ('{"salience": [["With", 7], ["nimble", 3]]}', 0),
         ('{"salience": [{"With": 7.5}, {"nimble": 3},]}', 0),
         ("Sure! {'rationale': 'It says \"fans\" twice over.'} // end", 0),
@@ -39,6 +40,10 @@ TEXT = "With nimble direction the tale comforts even casual fans."
         ("The tale is warm", 2),
         ("The tale is warm.", 0),
         (TEXT[:-1], 0),
+        ("- The tale is warm, and it says so.", 0),
+        ("<single sentence>", 2),
+        ('{"rationale": "It says so."' + " " * 200_000 + "}", 0),
+        ('{"rewritten": "a b c", "new_prediction": "x",}\n\nHope this helps', 0),
     ],
 )
 def test_endings(value, verdict):
