@@ -107,13 +107,30 @@ def cf_minimality(spark, sf_dir):
     return rows.groupBy("model").agg(F.round(F.avg("share"), 6).alias("minimality"), F.round(F.avg("cf_ratio"), 6).alias("edit_ratio"), F.round(aggregate.rate(F.col("cf_error").isNull()), 6).alias("valid_rate"))
 
 
+def cf_tradeoff_unpivot(spark, sf_dir):
+    """Means of minimal and free rewrites as rows of (variant, measure, value), the shape that is plotted."""
+    return aggregate.unpivoted(free_cf_sensitivity(spark, sf_dir), ["model", "variant"], ["mean_ecs", "mean_complete", "mean_available"])
+
+
+def coverage_rates(spark, sf_dir):
+    """Per model and dataset how often each strategy gives valid evidence, over all replies."""
+    ok = {s: F.round(aggregate.rate(F.col(c).isNull()), 6) for s, c in (("h_rate", "h_error"), ("r_rate", "r_error"), ("cf_rate", "cf_error"), ("ro_rate", "ro_error"))}
+    return _replies(spark, sf_dir).groupBy("model", "dataset").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in ok.items()])
+
+
+def parse_failures(spark, sf_dir):
+    """Replies per strategy that gave no evidence, missing ones apart from failed ones."""
+    f = parse.funnel(_replies(spark, sf_dir))
+    return f.groupBy("strategy").agg(F.sum(F.when(F.col("error") == "no reply", F.col("n")).otherwise(0)).alias("no_reply"), F.sum(F.when(~F.col("error").isin("ok", "no reply"), F.col("n")).otherwise(0)).alias("failed"))
+
+
 def execution_summary(spark, sf_dir):
     return sinks.execution_summary(table(spark, sf_dir, "instance_results"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (erasure_gap_tests, free_cf_sensitivity, ablation_delta, cf_minimality, execution_summary, parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates)
+    for f in (cf_tradeoff_unpivot, coverage_rates, parse_failures, erasure_gap_tests, free_cf_sensitivity, ablation_delta, cf_minimality, execution_summary, parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates)
 }
 ORACLE = {
     "execution_summary": """SELECT count(*) AS rows, count(DISTINCT lower(trim(model))) AS models, count(DISTINCT dataset) AS datasets, count(*) FILTER (model_refused) AS refused,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -32,22 +33,6 @@ def get_session(app: str = "tessella", cpus: str = "*", **conf: str) -> SparkSes
     return b.getOrCreate()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send the package's source to the executors once per application, so Python workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent
-    stage = Path(tempfile.mkdtemp(prefix="tessella-ship-"))
-    archive = stage / "tessella_src.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(archive))
-    atexit.register(shutil.rmtree, stage, ignore_errors=True)  # executors fetch it from the driver while it runs
-    _SHIPPED.add(sc.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessella/{spark.sparkContext.applicationId}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's source to the executors once per application, so Python workers can import it.
+
+    The archive lies in the shared folder, as executors that start later fetch it, too."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    archive = f"{shared_dir(spark)}/tessella_src.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(archive)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -78,3 +84,4 @@ def purge(spark: SparkSession) -> None:
     """Remove this application's intermediate tables."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _SHIPPED.discard(spark.sparkContext.applicationId)

@@ -102,6 +102,14 @@ def execution_summary(results: DataFrame) -> DataFrame:
     return out.withColumn("span_seconds", F.expr("cast(timestampdiff(SECOND, first_at, last_at) as bigint)"))
 
 
+def highlighted(text: str, words: list[str], start: str = "\033[1;32m", end: str = "\033[0m") -> str:
+    """The text with whole words marked for a terminal; the longest match counts."""
+    if not words:
+        return text
+    either = "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    return re.sub(rf"(?i)(?<!\w)(?:{either})(?!\w)", lambda m: f"{start}{m.group(0)}{end}", text)
+
+
 def manifest(files: dict[str, str]) -> dict[str, dict[str, str]]:
     """name: file and the SHA-256 of its content."""
     return {k: {"file": p, "sha256": hashlib.sha256(Path(p).read_bytes()).hexdigest()} for k, p in files.items()}

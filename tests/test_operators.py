@@ -242,9 +242,17 @@ def test_writers(spark, tmp_path):
     assert "| 1 | - |" in (tmp_path / "r.md").read_text() and r"\toprule" in sinks.latex_table(df.select("a"), "c", "t")
     with pytest.raises(ValueError, match="placeholder"):
         sinks.check_rendered("a {name} b")
+    assert sinks.highlighted("Good films, good", ["good", "good films"], "<", ">") == "<Good films>, <good>" and sinks.highlighted("x", []) == "x"
     assert set(sinks.environment()) >= {"python", "packages"} and len(sinks.manifest({"r": str(tmp_path / "r.md")})["r"]["sha256"]) == 64
 
 
+def test_client_hook(spark):
+    from tessella.operators.inference import answer
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "i int, p string")
+    assert {r.i: r.reply for r in answer(df, "p", lambda: lambda prompts: [p.upper() for p in prompts]).collect()} == {1: "AB", 2: None}
+
+
 def test_streaming(spark, sf, tmp_path):
     import shutil
 
