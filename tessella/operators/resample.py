@@ -21,6 +21,8 @@ DRAWS = 1000
 PERMUTATIONS = 10_000
 #: Rows whose draws are made at once.
 _STEP = 256
+#: Rows of a part, about, in two-sample permutations.
+_PART = 4096
 
 
 def _generator(key: int, seed: int) -> np.random.Generator:
@@ -91,14 +93,54 @@ def sign_flip_test(rows: DataFrame, group: list[str], key: list[str], value: str
     return _join(base, p, group).select(*group, "n", "mean", F.when(F.col("n") >= least, F.col("p")).alias("p"))
 
 
+def _dealt(rows: DataFrame, taken: DataFrame, n: int, seed: int) -> DataFrame:
+    """i, s: per replicate the sum of value over a random set of exactly k rows (h, value); taken: one row with k and n.
+
+    Rows lie in 2^bits parts by the first bits of h. How many of the k fall in a part follows from the root down, where each
+    node splits its number over its two halves by a hypergeometric draw that all parts below it repeat; within a part rows are
+    taken one after another with probability still wanted / still left. So any set of k rows is as likely as any other, and
+    no task sees more than a part."""
+    bits = F.ceil(F.log2(F.greatest(F.col("n") / _PART, F.lit(1.0)))).cast("int")
+    each = rows.join(F.broadcast(taken.select("n", bits.alias("bits"))))  # one row
+    # shifted in two steps, as a shift by 64 is one by 0
+    each = each.select("h", "value", "bits", F.expr("shiftrightunsigned(shiftrightunsigned(h, 1), 63 - bits)").alias("part"))
+    sizes = each.groupBy("bits", "part").agg(F.count("*").alias("size"))
+    up = sizes.select("part", "size", F.explode(F.expr("sequence(0, bits)")).alias("level"), F.expr("shiftright(part, bits - level)").alias("node"))
+    nodes = up.groupBy("level", "node").agg(F.sum("size").alias("size"))
+    half = nodes.select("level", F.col("node").bitwiseXOR(F.lit(1)).alias("node"), F.col("size").alias("other"))
+    steps = up.drop("size").where("level > 0").join(nodes, ["level", "node"]).join(half, ["level", "node"], "left")
+    paths = steps.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("level", "node", "size", F.coalesce("other", F.lit(0)).alias("other")))).alias("path"))
+    paths = sizes.select("part").join(paths, "part", "left").join(F.broadcast(taken.select("k")))  # one row
+    paths = paths.select(F.col("part").alias("at"), "path", "k")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        k = np.full(n, int(right["k"].iloc[0]), dtype=np.int64)
+        for step in right["path"].iloc[0] if right["path"].iloc[0] is not None else []:
+            level, node, size, other = (int(step[c]) for c in ("level", "node", "size", "other"))
+            first, second = (other, size) if node & 1 else (size, other)
+            split = np.random.default_rng([seed, 0, level, node >> 1]).hypergeometric(first, second, k)
+            k = k - split if node & 1 else split
+        rng = np.random.default_rng([seed, 1, int(key[0])])
+        total = np.zeros(n)
+        x = left.sort_values(["h", "value"])["value"].to_numpy(dtype=float)
+        for i, v in enumerate(x):
+            hit = rng.random(n) * (len(x) - i) < k
+            total += v * hit
+            k -= hit
+        return pd.DataFrame({"s": [list(total)]})
+
+    sums = each.select("part", "h", "value").groupBy("part").cogroup(paths.groupBy("at")).applyInPandas(run, "s array<double>")
+    return sums.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"))
+
+
 def two_sample_test(rows: DataFrame, side: str, key: list[str], value: str, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """n_a, n_b, difference, p: permutation test of equal means of the rows with side true and false, by random halves in
-    which each row falls on a side by a fair draw (means over the drawn sizes), two-sided."""
-    have = rows.where(F.col(value).isNotNull() & F.col(side).isNotNull()).select(F.xxhash64(*key).alias("h"), F.col(value).cast("double").alias("value"), F.lit(1).alias("size"), F.col(side).alias("side"))
-    base = have.agg(F.count(F.when(F.col("side"), 1)).alias("n_a"), F.count(F.when(~F.col("side"), 1)).alias("n_b"), (F.avg(F.when(F.col("side"), F.col("value"))) - F.avg(F.when(~F.col("side"), F.col("value")))).alias("difference"), F.sum("value").alias("_s"), F.count("*").alias("_n"))
-    drawn = _replicates(have, [], permutations, seed, "sign").join(F.broadcast(base))  # one row
-    n_up, s_up = (F.col("_n") + F.col("c")) / 2, (F.col("_s") + F.col("s")) / 2
-    diff = F.try_divide(s_up, n_up) - F.try_divide(F.col("_s") - s_up, F.col("_n") - n_up)
+    """n_a, n_b, difference, p: permutation test of equal means of the rows with side true and false, two-sided; every
+    replicate deals exactly n_a rows to one side."""
+    have = rows.where(F.col(value).isNotNull() & F.col(side).isNotNull()).select(F.xxhash64(*key).alias("h"), F.col(value).cast("double").alias("value"), F.col(side).alias("side"))
+    base = have.agg(F.count(F.when(F.col("side"), 1)).alias("n_a"), F.count(F.when(~F.col("side"), 1)).alias("n_b"), (F.avg(F.when(F.col("side"), F.col("value"))) - F.avg(F.when(~F.col("side"), F.col("value")))).alias("difference"), F.sum("value").alias("_s"))
+    dealt = _dealt(have, base.select(F.col("n_a").alias("k"), (F.col("n_a") + F.col("n_b")).alias("n")), permutations, seed)
+    drawn = dealt.join(F.broadcast(base))  # one row
+    diff = F.try_divide("s", "n_a") - F.try_divide(F.col("_s") - F.col("s"), "n_b")
     p = drawn.agg(((F.count(F.when(F.abs(diff) >= F.abs("difference") - 1e-12, 1)) + 1) / F.lit(permutations + 1)).alias("p"))
     return base.join(F.broadcast(p)).select("n_a", "n_b", "difference", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("p")).alias("p"))
 

@@ -163,6 +163,38 @@ def test_holm_and_sign_flip(spark):
     assert again == got
 
 
+def _mean_gap_p(a, b, n, rng):
+    both, hits, seen = a + b, 0, abs(sum(a) / len(a) - sum(b) / len(b))
+    for _ in range(n):
+        rng.shuffle(both)
+        hits += abs(sum(both[: len(a)]) / len(a) - sum(both[len(a) :]) / len(b)) >= seen - 1e-12
+    return (hits + 1) / (n + 1)
+
+
+@pytest.mark.parametrize("part", [4096, 16])
+def test_two_samples_of_unequal_sizes(spark, monkeypatch, part):
+    monkeypatch.setattr(resample, "_PART", part)
+    rng = random.Random(12)
+    a, b = [rng.gauss(0.35, 1) for _ in range(8)], [rng.gauss(0, 1) for _ in range(392)]
+    df = spark.createDataFrame([(i, i < 8, v) for i, v in enumerate(a + b)] + [(900, None, 1.0), (901, True, None)], "i int, s boolean, v double")
+    got = resample.two_sample_test(df, "s", ["i"], "v", permutations=4000).first()
+    assert (got.n_a, got.n_b) == (8, 392) and got.difference == pytest.approx(sum(a) / 8 - sum(b) / 392)
+    assert got.p == pytest.approx(_mean_gap_p(a, b, 4000, rng), abs=0.05)
+    assert resample.two_sample_test(df.repartition(5), "s", ["i"], "v", permutations=4000).first().p == got.p
+    assert resample.two_sample_test(df.where("s"), "s", ["i"], "v").first().p is None
+    assert resample.two_sample_test(df.limit(0), "s", ["i"], "v").first().p is None
+
+
+def test_dealt_sets_have_their_size_and_are_uniform(spark, monkeypatch):
+    monkeypatch.setattr(resample, "_PART", 2)
+    df = spark.range(12).select(F.xxhash64("id").alias("h"), F.pow(F.lit(2.0), F.col("id")).alias("value"))
+    taken = spark.createDataFrame([(3, 12)], "k long, n long")
+    sets = [f"{int(r.s):012b}" for r in resample._dealt(df, taken, 6000, 1).collect()]
+    assert len(sets) == 6000 and {s.count("1") for s in sets} == {3} and len(set(sets)) == 220
+    assert all(abs(sum(s[i] == "1" for s in sets) - 1500) < 170 for i in range(12))
+    assert all(abs(sum(s[i] == s[j] == "1" for s in sets) - 6000 / 22) < 85 for i in range(12) for j in range(i))
+
+
 def test_bootstrap(spark):
     rng = random.Random(1)
     vals = [rng.gauss(5, 2) for _ in range(400)]
