@@ -73,3 +73,19 @@ class Network:
                 b = self.to[came[b] ^ 1]
             sent += push
         return sent
+
+    def cheapest_path(self, a: int, b: int, closed: set[int]) -> list[int] | None:
+        """Arcs with room from a to b, none of them closed, at least cost; costs may be negative, cycles of negative cost are not followed."""
+        dist, came = {a: 0.0}, {a: ()}
+        for _ in range(len(self.out)):
+            changed = False
+            for x in list(dist):
+                for e in self.out[x]:
+                    y = self.to[e]
+                    if self.left[e] > 0 and e not in closed and dist[x] + self.cost[e] < dist.get(y, float("inf")) - 1e-9:
+                        if any(self.to[p] == y for p in came[x]) or y == a:
+                            continue
+                        dist[y], came[y], changed = dist[x] + self.cost[e], (*came[x], e), True
+            if not changed:
+                break
+        return list(came[b]) if b in came else None

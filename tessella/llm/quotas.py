@@ -6,6 +6,7 @@ quotas come from a second flow, source - label - cell - length - sink: floors, t
 cost at either end; a cell's arcs are cheap up to the whole part of its share in the fitted table (iterative
 proportional fitting to all three axes), then one row at a random cost that falls with the fraction, then dear. So labels
 and lengths follow their targets exactly where that is possible, genres up to rounding, and quotas are drawn at random.
+Genres below their minimum are then raised by exchanges along cycles of the flow (``raise_minimums``).
 Rows are drawn by a hash within each cell.
 
 Only cell counts reach one task, never rows. Drawing keeps the best ranks within parts of each cell before the ranks of
@@ -112,6 +113,75 @@ def _margin(names: list[str], want: dict[str, int], available: np.ndarray, size:
     return ask
 
 
+def raise_minimums(net: Network, arcs: list[list[int]], genre: np.ndarray, least: np.ndarray, reserved: set[int]) -> None:
+    """Change a solved flow, arcs[k] being those of cell k, so that each genre has its least rows where a chain of exchanges gets there.
+
+    A row is put into a cell of the genre and the flow closed by the cheapest cycle through the rest of the network, which
+    takes rows from genres above their minimum. Label and length minimums stay; their targets give way only if no cycle keeps
+    them, as leaving them costs more. Where all other genres are at their minimum, one of them lends a row and is raised in turn."""
+    cell = {e: k for k, own in enumerate(arcs) for e in own}
+    have = np.zeros(len(least), dtype=np.int64)
+    for e, k in cell.items():
+        have[genre[k]] += net.flow(e)
+
+    def gain(edges: list[int]) -> np.ndarray:
+        out = np.zeros_like(have)
+        for e in edges:
+            if (e & ~1) in cell:
+                out[genre[cell[e & ~1]]] += -1 if e & 1 else 1
+        return out
+
+    def best(g: int, lends: frozenset[int], shut: frozenset[int]) -> list[int] | None:
+        """The cheapest cycle that puts a row into g and takes rows only from genres above their minimum or in lends."""
+        barred = {c for c in range(len(least)) if c in shut or c == g or have[c] <= least[c] and c not in lends}
+        closed = reserved_back | {e ^ 1 for e, k in cell.items() if genre[k] in barred}
+        found, cost = None, float("inf")
+        for e, k in cell.items():
+            if genre[k] == g and net.left[e]:
+                way = net.cheapest_path(net.to[e], net.to[e ^ 1], closed | {e ^ 1})
+                if way is not None and net.cost[e] + sum(net.cost[x] for x in way) < cost:
+                    found, cost = [e, *way], net.cost[e] + sum(net.cost[x] for x in way)
+        return found
+
+    def cycle(g: int, lends: frozenset[int], shut: frozenset[int]) -> list[int] | None:
+        """As best(), and no genre is left more than one row under its minimum; those it would be are shut one after another."""
+        while (edges := best(g, lends, shut)) is not None:
+            change = gain(edges)
+            over = {c for c in range(len(least)) if change[c] < 0 and have[c] + change[c] < least[c] - (c in lends)}
+            if not over:
+                return edges
+            shut = shut | over
+        return None
+
+    def push(edges: list[int], way: int) -> None:
+        nonlocal have
+        for e in edges:
+            net.left[e] -= way
+            net.left[e ^ 1] += way
+        have = have + way * gain(edges)
+
+    def lift(g: int, held: frozenset[int]) -> bool:
+        """One row more for g; genres in held give none."""
+        if (edges := cycle(g, frozenset(), held)) is not None:
+            push(edges, 1)
+            return True
+        for lender in range(len(least)):
+            if lender == g or lender in held or have[lender] != least[lender] or least[lender] == 0:
+                continue
+            if (edges := cycle(g, frozenset([lender]), held)) is None:
+                continue
+            push(edges, 1)
+            if have[lender] >= least[lender] or lift(lender, held | {g}):
+                return True
+            push(edges, -1)
+        return False
+
+    reserved_back = {e ^ 1 for e in reserved}
+    for g in range(len(least)):
+        while have[g] < least[g] and lift(g, frozenset()):
+            pass
+
+
 def cell_quotas(cells: pd.DataFrame, wants: pd.DataFrame, rng: np.random.Generator) -> np.ndarray:
     """Rows to draw of each cell (label, genre, length, rows)."""
     counts = cells["rows"].to_numpy(dtype=np.int64)
@@ -141,8 +211,15 @@ def cell_quotas(cells: pd.DataFrame, wants: pd.DataFrame, rng: np.random.Generat
             arc(i, goal - low, 100.0)
             arc(i, int(available[i]) - goal, 10_000.0)
 
-    ends("label", first, codes[0], lambda i, n, c: net.add(0, at_first + i, n, c))
-    ends("length", last, codes[2], lambda i, n, c: net.add(at_last + i, 1, n, c))
+    reserved = set()  # arcs of label and length minimums
+
+    def end(a: int, b: int, n: int, cost: float) -> None:
+        arc = net.add(a, b, n, cost)
+        if cost == 0.0:
+            reserved.add(arc)
+
+    ends("label", first, codes[0], lambda i, n, c: end(0, at_first + i, n, c))
+    ends("length", last, codes[2], lambda i, n, c: end(at_last + i, 1, n, c))
     arcs = []
     for k in range(len(cells)):
         a, b = at_first + int(codes[0][k]), at_last + int(codes[2][k])
@@ -154,6 +231,8 @@ def cell_quotas(cells: pd.DataFrame, wants: pd.DataFrame, rng: np.random.Generat
             own.append(net.add(a, b, rest - 1, 30.0 + rng.random()))
         arcs.append(own)
     net.solve(0, 1, size)
+    least = np.array([floor["genre"].get(g, 0) for g in names["genre"]], dtype=np.int64)
+    raise_minimums(net, arcs, codes[1], np.minimum(least, np.bincount(codes[1], weights=counts, minlength=len(least)).astype(np.int64)), reserved)
     return np.array([sum(net.flow(e) for e in own) for own in arcs], dtype=np.int64)
 
 

@@ -109,3 +109,38 @@ def test_quotas_are_random_but_repeatable(spark):
     i, d, r, t = frames(spark)
     draw = lambda seed: {x.instance_id for x in quotas.balanced_sample(i, d, r, t, seed).collect()}
     assert draw(1) == draw(1) != draw(2)
+
+
+def pool(counts, wants):
+    cells = quotas.pd.DataFrame([(*k, n) for k, n in sorted(counts.items())], columns=["label", "genre", "length", "rows"])
+    size = wants[0][-1]
+    return cells, quotas.pd.DataFrame(wants, columns=["axis", "category", "want", "floor", "size"]), size
+
+
+def test_genre_minimums_hold():
+    short = exact = 0
+    for seed in range(40):
+        rng = random.Random(seed)
+        counts = {(a, g, b): 60 if g == "big" else rng.choice([0, 1, 1, 2]) for a in "abcd" for g in ("big", "rare", "odd") for b in "xyz"}
+        have = Counter()
+        for k, n in counts.items():
+            have[k[1]] += n
+        wants = [("label", a, 9, 3, 36) for a in "abcd"] + [("length", b, 12, 4, 36) for b in "xyz"] + [("genre", "rare", 6, min(6, have["rare"]), 36), ("genre", "odd", 6, min(6, have["odd"]), 36), ("genre", "big", 24, 0, 36)]
+        cells, frame, size = pool(counts, wants)
+        q = quotas.cell_quotas(cells, frame, quotas.np.random.default_rng(seed))
+        got = {x: Counter() for x in quotas.AXES}
+        for r, n in zip(cells.itertuples(), q, strict=True):
+            assert 0 <= n <= r.rows
+            for x in quotas.AXES:
+                got[x][getattr(r, x)] += int(n)
+        assert sum(q) == size
+        short += sum(got[a][c] < low for a, c, _, low, _ in wants)
+        exact += all(got["label"][a] == 9 for a in "abcd") and all(got["length"][b] == 12 for b in "xyz")
+    assert (short, exact) == (0, 40)
+
+
+def test_a_genre_minimum_comes_before_label_and_length_targets():
+    counts = {("a", "big", "x"): 50, ("b", "big", "y"): 50, ("a", "rare", "x"): 8}
+    cells, frame, _ = pool(counts, [("label", "a", 5, 0, 20), ("label", "b", 15, 14, 20), ("length", "x", 5, 0, 20), ("length", "y", 15, 0, 20), ("genre", "rare", 6, 6, 20), ("genre", "big", 14, 0, 20)])
+    q = dict(zip(zip(cells["label"], cells["genre"], strict=True), quotas.cell_quotas(cells, frame, quotas.np.random.default_rng(1)), strict=True))
+    assert q == {("a", "big"): 0, ("a", "rare"): 6, ("b", "big"): 14}
