@@ -49,6 +49,12 @@ def summary_columns() -> dict[str, Column]:
     return out
 
 
+def weighted_columns() -> dict[str, Column]:
+    """Means over rows with a score and a null weighted by salience (ecs_random_weighted, ecs_lift_weighted)."""
+    lift = F.col("ecs_lift_weighted")
+    return {"mean_ecs_random_weighted": mean_where("ecs_random_weighted", lift.isNotNull()), "mean_ecs_lift_weighted": safe_mean(lift), "n_lift_weighted": F.count(lift)}
+
+
 def pair_counts() -> Column:
     """Defined values of nine pair measures as a map."""
     names = [*[f"jaccard_{k}" for k in _PAIR_NAMES], "rbo", "kendall", "kendall_normalized"]

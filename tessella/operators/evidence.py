@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import kernels
 from tessella.functions import measures as m
 from tessella.functions.stage import settled
 
@@ -56,3 +57,13 @@ def measured(rows: DataFrame) -> DataFrame:
     core = list(s.values())
     out = settled(out, {"ecs_lift": F.col("ecs") - F.col("ecs_random"), "kendall": m.kendall_tau(F.col("h_rank"), F.col("ro_rank")), "rbo": m.rank_biased_overlap(F.col("h_rank"), F.col("ro_rank")), "cc3": m.consensus_core(core, 3), "cc4": m.consensus_core(core, 4), "short_vocab": v <= 20})
     return out.withColumn("kendall_normalized", m.normalized_tau(F.col("kendall")))
+
+
+def weighted_null(rows: DataFrame, key: Column) -> DataFrame:
+    """rows with chance_H_RO and ecs_random_weighted: the chance agreement of H and RO, and the mean of that of the five other
+    pairs whose sets aren't empty, where words are drawn by their salience (h_weights, two words or more)."""
+    chance = {k: kernels.weighted_chance(F.size(k[0]), F.size(k[1]), F.col("h_weights"), key) for k in m.PAIRS}
+    out = rows.withColumns({f"chance_{a}_{b}": c for (a, b), c in chance.items()})
+    others = F.filter(F.array(*[F.col(f"chance_{a}_{b}") for a, b in m.PAIRS if (a, b) != ("H", "RO")]), lambda c: c.isNotNull())
+    mean = F.try_divide(F.aggregate(others, F.lit(0.0), lambda x, c: x + c), F.size(others))
+    return out.withColumn("ecs_random_weighted", mean).drop(*[f"chance_{a}_{b}" for a, b in m.PAIRS if (a, b) != ("H", "RO")])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import kernels
 from tessella.functions import text as tx
 from tessella.functions.measures import jaccard, minimality, symmetric_difference
 from tessella.operators import aggregate, erasure, evidence, parse, resample
@@ -51,15 +50,23 @@ def reply_agreement(spark, sf_dir):
     return m.select("result_id", *[F.round(c, 6).alias(c) for c in ("ecs", "ecs_overlap", "ecs_adj", "ecs_lift", "rbo", "kendall")], "n_valid", "vocabulary")
 
 
+def _weighted(spark, sf_dir):
+    """Measured replies with chance_H_RO, ecs_random_weighted and ecs_lift_weighted."""
+    rows = materialise(evidence.weighted_null(_replies(spark, sf_dir), F.xxhash64("result_id")), "weighted")
+    both = evidence.measured(rows)
+    return both.withColumn("ecs_lift_weighted", F.col("ecs") - F.col("ecs_random_weighted"))
+
+
 def reply_aggregates(spark, sf_dir):
-    return aggregate.grouped(evidence.measured(_replies(spark, sf_dir)))
+    return aggregate.grouped(_weighted(spark, sf_dir), aggregate.summary_columns() | aggregate.weighted_columns())
 
 
 def weighted_null(spark, sf_dir):
-    """Chance agreement of H and RO where words are drawn by their salience, and the lift over it."""
-    r = _replies(spark, sf_dir).where("h_weights is not null and size(RO) > 0")
-    c = kernels.weighted_chance(F.size("H"), F.size("RO"), F.col("h_weights"), F.xxhash64("result_id"))
-    return r.select("result_id", F.round(c, 6).alias("chance"), F.round(jaccard(F.col("H"), F.col("RO")) - c, 6).alias("lift"))
+    """Chance agreement of H and RO where words are drawn by their salience, and the lift over it; the mean chance of the
+    five other pairs, and the lift of the score over that."""
+    r = _weighted(spark, sf_dir).where("h_weights is not null and (size(RO) > 0 or ecs_random_weighted is not null)")
+    c, e = F.col("chance_H_RO"), F.when(F.col("ecs").isNotNull(), F.col("ecs_random_weighted"))
+    return r.select("result_id", F.round(c, 6).alias("chance"), F.round(jaccard(F.col("H"), F.col("RO")) - c, 6).alias("lift"), F.round(e, 6).alias("ecs_random_weighted"), F.round("ecs_lift_weighted", 6).alias("ecs_lift_weighted"))
 
 
 def confidence_correlation(spark, sf_dir):

@@ -152,6 +152,26 @@ def test_evidence_and_erasure_of_replies(spark, sf):
     assert got["H", "mask"] == (1, 1.0) and got["H", "delete"] == (1, 0.0) and got["CF", "mask"] == (0, None) and got["cc3", "mask"] == (1, 1.0) and ("RO", "mask") not in got
 
 
+def test_weighted_null_of_the_five_other_pairs(spark):
+    four = {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
+    rows = [(1, ["a", "b"], ["c"], ["a", "b", "c", "d"], [], four), (2, ["a"], [], [], ["b"], four), (3, ["a"], ["a"], ["a"], ["a"], {"a": 1.0}), (4, ["a"], ["a"], ["a"], ["a"], None)]
+    df = spark.createDataFrame(rows, "k long, H array<string>, R array<string>, CF array<string>, RO array<string>, h_weights map<string,double>")
+    got = {r.k: r for r in evidence.weighted_null(df, F.col("k")).collect()}
+    # sets of 2 and 1, 2 and 4, 1 and 4 of four equal words
+    assert got[1].ecs_random_weighted == pytest.approx((0.5 * 0.5 + 0.5 + 0.25) / 3, abs=0.02) and got[1].chance_H_RO is None
+    assert got[2].ecs_random_weighted is None and got[2].chance_H_RO == pytest.approx(0.25, abs=0.1)
+    assert got[3].ecs_random_weighted is None and got[4].ecs_random_weighted is None
+
+
+def test_weighted_lift_in_queries(spark, sf):
+    from tessella.plans import reply_queries
+
+    each = [r for r in reply_queries.weighted_null(spark, sf).collect() if r.ecs_lift_weighted is not None]
+    over = reply_queries.reply_aggregates(spark, sf).where("level = 'overall'").first()
+    assert each and over.n_lift_weighted == len(each) and over.mean_ecs_lift_weighted == pytest.approx(sum(r.ecs_lift_weighted for r in each) / len(each), abs=1e-5)
+    assert any(r.chance is None for r in each)
+
+
 def test_holm_and_sign_flip(spark):
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None), ("e", 0.9)], "k string, p double")
     assert {r.k: r.p_holm and round(r.p_holm, 6) for r in resample.holm(p).collect()} == {"a": 0.04, "c": 0.09, "b": 0.09, "e": 0.9, "d": None}
