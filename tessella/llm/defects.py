@@ -14,6 +14,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -210,8 +211,9 @@ def defect_of(reply: replies.Reply, blank: bool, tags: np.ndarray, lengths: list
     return DEFECTS[top] if share[top] >= 0.5 else ""
 
 
-def _columns(results: DataFrame, fields: dict[str, str], id_col: str, text_col: str, label_col: str) -> DataFrame:
-    return results.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label_col).alias("l"), *[F.col(f) for f in fields], *[F.col(p).alias(f"_{p}") for p in fields.values()])
+def _columns(results: DataFrame, fields: dict[str, str], id_col: str, text_col: str, label_col: str, source_col: str = "") -> DataFrame:
+    source = F.lower(F.trim(F.col(source_col))) if source_col in results.columns else F.lit(None).cast("string")
+    return results.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(label_col).alias("l"), source.alias("source"), *[F.col(f) for f in fields], *[F.col(p).alias(f"_{p}") for p in fields.values()])
 
 
 def fit(results: DataFrame, fields: dict[str, str], id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> ChainField:
@@ -239,28 +241,32 @@ def fit(results: DataFrame, fields: dict[str, str], id_col: str, text_col: str,
     return model
 
 
-def tagged(results: DataFrame, model: ChainField, fields: dict[str, str], id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """id, field_name, verdict, words, if_finished, if_cut: the defect of each reply for either judgement of its end."""
-    src = _columns(results, fields, id_col, text_col, label_col)
+def tagged(results: DataFrame, model: ChainField, fields: dict[str, str], id_col: str, text_col: str, label_col: str, source_col: str) -> DataFrame:
+    """The ends of the replies as in ``truncation.value_ends``, with if_finished and if_cut: the defect of each reply for
+    either judgement of its end."""
+    src = _columns(results, fields, id_col, text_col, label_col, source_col)
     names = list(fields)
-    id_type = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, labels = b.column(1).to_pylist(), b.column(2).to_pylist()
+            inside: Counter[tuple[str, str]] = Counter()
             for k, f in enumerate(names):
-                prompts = b.column(3 + len(names) + k).to_pylist()
-                rows, verdicts, words, info, seqs, made = [], [], [], [], [], {}
-                for i, v in enumerate(b.column(3 + k).to_pylist()):
+                prompts = b.column(4 + len(names) + k).to_pylist()
+                rows, n, ends, verdicts, words, info, seqs, made = [], [], [], [], [], [], [], {}
+                for i, v in enumerate(b.column(4 + k).to_pylist()):
                     if v is None:
                         continue
                     reply = replies.read(v)
-                    verdict, last = replies.ending(reply, texts[i], prompts[i], labels[i]) if v.strip() else (replies.COMPLETE, "")
+                    verdict, tokens = replies.ending(reply, texts[i], prompts[i], labels[i]) if v.strip() else (replies.COMPLETE, [])
+                    truncation.count_inside(inside, f, tokens)
                     blank = verdict != replies.CUT and (not v.strip() or replies.is_nothing(reply))
                     x, lengths = features(reply, texts[i], prompts[i], labels[i], verdict == replies.CUT)
                     rows.append(i)
+                    n.append(len(v))
+                    ends.append(reply.end)
                     verdicts.append(verdict)
-                    words.append(last)
+                    words.append(replies.words_at(tokens, len(tokens)))
                     rewrite = bool(prompts[i]) and "rewritten" in prompts[i]
                     info.append((reply, blank, lengths, rewrite, verdict == replies.CUT and not len(x)))
                     seqs.append(x)
@@ -274,22 +280,27 @@ def tagged(results: DataFrame, model: ChainField, fields: dict[str, str], id_col
                 cut = [defect_of(n[0], n[1], cut_tags[j], n[2], n[3]) if j in cut_tags else finished[j] for j, n in enumerate(info)]
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), pa.array([f] * len(rows), pa.string()), pa.array(verdicts, pa.int32()), pa.array(words, pa.string()), pa.array(finished, pa.string()), pa.array(cut, pa.string())],
-                    names=["id", "field_name", "verdict", "words", "if_finished", "if_cut"],
+                    [b.column(0).take(at), b.column(3).take(at), pa.array([f] * len(rows), pa.string()), pa.array(n, pa.int32()), pa.array(ends, pa.int32()), pa.array(verdicts, pa.int32()), pa.array(words, pa.string()), pa.array(finished, pa.string()), pa.array(cut, pa.string())],
+                    names=_TAGGED,
                 )
+            counts = truncation.inside_rows(inside, b.schema.field(0).type, b.schema.field(3).type)
+            none = pa.nulls(counts.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([*counts.columns, none, none], names=_TAGGED)
+
+    return src.mapInArrow(run, truncation.ENDS.format(id=src.schema["id"].dataType.simpleString()) + ", if_finished string, if_cut string")
+
 
-    return src.mapInArrow(run, f"id {id_type}, field_name string, verdict int, words string, if_finished string, if_cut string")
+_TAGGED = ["id", "source", "field_name", "n", "cut_length", "verdict", "words", "if_finished", "if_cut"]
 
 
-def pair_defects(results: DataFrame, fields: dict[str, str] | None = None, id_col: str = "result_id", text_col: str = "text", label_col: str = "predicted_label", sample: int = SAMPLE) -> DataFrame:
+def pair_defects(results: DataFrame, fields: dict[str, str] | None = None, id_col: str = "result_id", text_col: str = "text", label_col: str = "predicted_label", sample: int = SAMPLE, source_col: str = "model") -> DataFrame:
     """id, field_name, defect of every defective reply."""
     fields = fields or FIELDS
     model = fit(results, fields, id_col, text_col, label_col, sample)
-    found = materialise(tagged(results, model, fields, id_col, text_col, label_col), "tagged")
-    seen = truncation.seen_words(found).withColumn("is_seen", F.lit(True))
-    unseen = (F.col("verdict") == replies.OPEN) & F.col("is_seen").isNull()
-    defect = F.when(unseen, F.col("if_cut")).otherwise(F.col("if_finished"))
-    return found.join(seen, ["field_name", "words"], "left").select("id", "field_name", defect.alias("defect")).where("defect <> ''").distinct()
+    found = materialise(tagged(results, model, fields, id_col, text_col, label_col, source_col), "tagged")
+    judged = truncation.judged(found)
+    unstopped = (F.col("verdict") == replies.OPEN) & F.col("is_cut")
+    return judged.select("id", "field_name", F.when(unstopped, F.col("if_cut")).otherwise(F.col("if_finished")).alias("defect")).where("defect <> ''").distinct()
 
 
 def defect_rates(results: DataFrame, source_col: str = "model", **columns) -> DataFrame:
@@ -298,6 +309,6 @@ def defect_rates(results: DataFrame, source_col: str = "model", **columns) -> Da
     id_col = columns.get("id_col", "result_id")
     replied = results.select(F.col(id_col).alias("id"), F.lower(F.trim(F.col(source_col))).alias("source"), F.explode(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields])).alias("field_name")).where("field_name is not null")
     total = replied.groupBy("source", "field_name").agg(F.count("*").alias("all"))
-    count = replied.join(pair_defects(results, **columns), ["id", "field_name"]).groupBy("source", "field_name", "defect").agg(F.count("*").alias("replies"))
+    count = replied.join(pair_defects(results, source_col=source_col, **columns), ["id", "field_name"]).groupBy("source", "field_name", "defect").agg(F.count("*").alias("replies"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f"))
     return count.join(total.select(F.col("source").alias("s"), F.col("field_name").alias("f"), "all"), same).select("source", "field_name", "defect", "replies", F.round(F.col("replies") / F.col("all"), 6).alias("share"))

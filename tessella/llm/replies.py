@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 COMPLETE, CUT, OPEN = 0, 1, 2
 
-# Marks that storage or transfer leaves after a cut.
+# Bracketed marks that storage or transfer leaves after a cut; dots and replacement characters are others.
 _MARK = re.compile(
-    r"""(?: (?:\.{3}|…)? \s* [\[<(] \s* (?: \.{3} | … | [^\[\]()<>{}]{0,24}? (?:truncat|clip|cut|omitted|shorten|abbreviat)[^\[\]()<>{}]{0,16} | \+?\s*\d+\s*(?:more\s*)?(?:char|byte|word|token)\w* (?:\s\w+)? | more ) \s* [\])>]
-    | \.{3} | … | \ufffd+ )\s*$""",
+    r"""[\[<(] \s* (?: \.{3} | … | [^\[\]()<>{}]{0,24}? (?:truncat|clip|cut|omitted|shorten|abbreviat)[^\[\]()<>{}]{0,16} | \+?\s*\d+\s*(?:more\s*)?(?:char|byte|word|token)\w* (?:\s\w+)? | more ) \s* [\])>]""",
     re.X | re.I,
 )
 _FENCE_START = re.compile(r"^\s*```[\w+-]*[ \t]*(?:\r?\n|$)")
@@ -25,13 +25,12 @@ _BOLD = re.compile(r"^\s*\*\*[^*\n]{1,40}\*\*\s*")
 _KEY = re.compile(r"""[{,]\s*["'“]?\s*([A-Za-z_][\w -]{0,40})["'”]?\s*:\s*""")
 _NEXT_KEY = re.compile(r"""["']\s*,\s*["'][A-Za-z_][\w -]{0,40}["']\s*:[^:{}]*\}?[^{}]*$""", re.S)
 _CHAIN = re.compile(r"\s>(?:\s|$)")
-#: Code points at the end in which a mark of a cut can stand; no mark is longer.
-_MARK_TAIL = 200
 _QUOTED = re.compile(r"""\\?["«„“‘'](?=\S|\s\S)[^"»“”’'\\«„\n]{1,40}\\?["»“”’'](?!\w)""")
 _STOP = re.compile(r"""[.!?。！？](?:\\?["'»”’)\]]|\s)*$""")
 _WORD = re.compile(r"[^\W_]+(?:['’/-][^\W_]+)*")
 _TOKEN = re.compile(r"\w+(?:['’/-]\w+)*|[^\w\s]")
 _ITEM = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•])[ \t]*")
+_CLOSERS = re.compile(r"""["'”]?\s*,?\s*[\]}]+\s*(?:```)?$""")
 _LIST_HEAD = re.compile(r"^[^\n:>]{0,40}:\s*")
 # What stands in for an answer that isn't there.
 NOTHING = frozenset({"", "null", "none", "nan", "n/a", "na", "nil", "undefined", "-", "--", "—", "?", ".", "...", "{}", "[]", '""', "''"})
@@ -46,17 +45,39 @@ class Reply:
     key: str
     content: str
     fenced: bool
+    end: int
 
 
 def _unescape(s: str) -> str:
     return s.replace("\\n", "\n").replace('\\"', '"').replace("\\'", "'").replace("\\t", " ") if "\\" in s else s
 
 
+def mark_of(core: str) -> int | None:
+    """Where the mark of a cut at the end of a value starts, None without one."""
+    last = core[-1:]
+    if last == "\ufffd":
+        return len(core.rstrip("\ufffd"))
+    if last == "…":
+        return len(core) - 1
+    if core.endswith("..."):
+        return len(core) - 3
+    if last and last in "])>":
+        at = max(core.rfind("["), core.rfind("<"), core.rfind("("))
+        if at >= 0 and _MARK.fullmatch(core, at):
+            before = core[:at].rstrip()
+            for dots in ("...", "…"):
+                if before.endswith(dots):
+                    return len(before) - len(dots)
+            return at - 1 if at and core[at - 1].isspace() else at
+    return None
+
+
 def read(value: str) -> Reply:
     core = value.rstrip()
-    mark = _MARK.search(core, max(0, len(core) - _MARK_TAIL))
+    mark = mark_of(core)
+    end = len(value.rstrip("\r\n")) if mark is None else mark
     if mark is not None:
-        core = core[: mark.start()].rstrip()
+        core = core[:mark].rstrip()
     broken = (len(core) - len(core.rstrip("\\"))) % 2 == 1
     inner = core
     start = _FENCE_START.match(inner)
@@ -69,6 +90,8 @@ def read(value: str) -> Reply:
     if at >= 0:
         body = inner[at:]
         closed = body.count("{") <= body.count("}") and body.count("[") <= body.count("]")
+        if closed and mark is None and (tail := _CLOSERS.search(core, max(0, len(core.rstrip("`]}\"'”, \t\r\n")) - 1))) is not None:
+            end = tail.start()
         key = _KEY.match(body)
         content = body[key.end() :] if key else body[1:]
         if closed:
@@ -83,11 +106,11 @@ def read(value: str) -> Reply:
             content = content[1:]
             if content.endswith(quote) and not content.endswith("\\" + quote):
                 content = content[:-1]
-        return Reply(core, mark is not None or broken, True, closed, key.group(1).strip().lower() if key else "", _unescape(content).strip(), fenced)
+        return Reply(core, mark is not None or broken, True, closed, key.group(1).strip().lower() if key else "", _unescape(content).strip(), fenced, end)
     content = _BOLD.sub("", inner).strip()
     if len(content) > 1 and content[0] == content[-1] == '"':
         content = content[1:-1].strip()
-    return Reply(core, mark is not None or broken, False, not broken, "", content, fenced)
+    return Reply(core, mark is not None or broken, False, not broken, "", content, fenced, end)
 
 
 def plain(text: str | None) -> str:
@@ -95,14 +118,22 @@ def plain(text: str | None) -> str:
     return "".join(_WORD.findall((text or "").casefold())).replace("'", "").replace("’", "").replace("/", "").replace("-", "")
 
 
-def last_words(content: str, label: str | None) -> str:
-    """The last three tokens, quoted words as Q, numbers as N, the label as L."""
-    tail = content[-200:]
-    tail = _QUOTED.sub(" Q ", tail)
+def general_tokens(content: str, label: str | None) -> list[str]:
+    """Tokens of a content in lower case, quoted words as Q, numbers as N, the label as L."""
+    flat = _QUOTED.sub(" Q ", content)
     if label:
-        tail = re.sub(rf"(?<![\w/]){re.escape(label)}(?![\w/])", "L", tail, flags=re.I)
-    tokens = [("N" if t[0].isdigit() else t.lower() if t not in ("Q", "L") else t) for t in _TOKEN.findall(tail)]
-    return " ".join(tokens[-3:])
+        flat = _label(label).sub("L", flat)
+    return [("N" if t[0].isdigit() else t if t in ("Q", "L") else t.lower()) for t in _TOKEN.findall(flat)]
+
+
+@lru_cache(maxsize=1000)
+def _label(label: str) -> re.Pattern[str]:
+    return re.compile(rf"(?<![\w/]){re.escape(label)}(?![\w/])", re.I)
+
+
+def words_at(tokens: list[str], i: int) -> str:
+    """The three tokens before position i."""
+    return " ".join(tokens[max(0, i - 3) : i])
 
 
 def is_nothing(reply: Reply) -> bool:
@@ -121,43 +152,43 @@ def _entry(content: str) -> tuple[bool, str] | None:
     return None
 
 
-def ending(reply: Reply, text: str | None, prompt: str | None, label: str | None) -> tuple[int, str]:
-    """(verdict, last words); finished sentences and lists give their last words, too."""
+def ending(reply: Reply, text: str | None, prompt: str | None, label: str | None) -> tuple[int, list[str]]:
+    """(verdict, general tokens of a sentence or the last entry of a list where the last words can tell); finished ones, too."""
     if reply.marked and not (reply.is_json and reply.closed):
-        return CUT, ""
+        return CUT, []
     if reply.is_json and not reply.closed:
-        return CUT, ""
+        return CUT, []
     if is_nothing(reply):
         begun = not reply.is_json and reply.fenced and not reply.core.endswith("```")
-        return (CUT if begun else COMPLETE), ""
+        return (CUT if begun else COMPLETE), []
     content = reply.content
     if reply.is_json and reply.key in ("salience", "ranking"):
         items = re.findall(r"""["']((?:[^"'\\]|\\.)+)["']\s*\]?\s*$""", content)
-        return COMPLETE, f"item {items[-1].casefold()}" if items else ""
+        return COMPLETE, [f"item {items[-1].casefold()}"] if items else []
     if not reply.is_json and (entry := _entry(content)) is not None:
         begun, last = entry
         if begun:
-            return CUT, ""
+            return CUT, []
         words = {w.strip(".,;:!?\"()").casefold() for w in (text or "").split()} | {w.casefold() for w in _WORD.findall(text or "")}
         item = last.casefold()
         if item in words:
-            return COMPLETE, ""
+            return COMPLETE, []
         if any(w.startswith(item) for w in words):
-            return CUT, ""
-        return OPEN, f"item {item}"
+            return CUT, []
+        return OPEN, [f"item {item}"]
     if _STOP.search(content):
-        return COMPLETE, last_words(_STOP.sub("", content), label)
+        return COMPLETE, general_tokens(_STOP.sub("", content), label)
     if content[-1:] in (",", ";", ":", "(", "«", "„"):
-        return CUT, ""
+        return CUT, []
     if not re.search(r"[^\W\d_]", content):
-        return COMPLETE, ""
+        return COMPLETE, []
     if reply.is_json and reply.key == "rewritten":
-        return COMPLETE, ""
+        return COMPLETE, []
     own = plain(content)
     if own and text and plain(text).endswith(own):
-        return COMPLETE, ""
+        return COMPLETE, []
     if prompt and content in prompt:
         after = prompt[prompt.find(content) + len(content) :][:1]
         if not after.isalnum():
-            return COMPLETE, ""
-    return OPEN, last_words(content, label)
+            return COMPLETE, []
+    return OPEN, general_tokens(content, label)
