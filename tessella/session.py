@@ -34,9 +34,12 @@ def get_session(app: str = "tessella", cpus: str = "*", **conf: str) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a session on one machine (tests, the
+    bench) gets a folder of its own; a cluster is refused, as its executors can't read each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL_DIRS:
             _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="tessella-ckpt-"))
             atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL_DIRS])
@@ -77,7 +80,7 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:
