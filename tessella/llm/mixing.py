@@ -8,7 +8,7 @@ added up first, so no source is ever one task.
 
 Defined results for unusual input: null and empty texts have no tokens; sources are compared trimmed and in lower case;
 documents of other or null sources are not used but count for the total size; a source named twice in the targets has
-the sum of its weights and the most repeats; null or negative weights and repeats are 0; sources without documents are
+the sum of its weights and the most repeats; weights are relative to their sum; null or negative weights and repeats are 0; sources without documents are
 reported with 0 tokens; repeated rows of documents count as separate documents; further columns are ignored.
 """
 
@@ -73,12 +73,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:
-    """source_name, target_weight, max_repeats once per source."""
-    return (
+    """source_name, target_weight (of 1), max_repeats once per source."""
+    each = (
         targets.where("source_name is not null")
         .groupBy(F.lower(F.trim("source_name")).alias("source_name"))
-        .agg(F.sum(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("target_weight"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
+        .agg(F.sum(F.greatest(F.coalesce(F.col("target_weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("w"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
     )
+    whole = each.agg(F.sum("w").alias("all"))
+    share = F.coalesce(F.try_divide("w", "all"), F.lit(0.0))
+    # sums that miss 1 by rounding only are left as they are
+    return each.join(F.broadcast(whole)).select("source_name", F.when(F.abs(F.col("all") - 1) < 1e-6, F.col("w")).otherwise(share).alias("target_weight"), "max_repeats")  # one row
 
 
 def _block_tokens(total: int, block_tokens: int | None) -> int:
@@ -89,9 +93,10 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """slot, source_name, rank (from 0): the source of each slot and the slot's rank among the source's."""
     spark = targets.sparkSession
     ordered = targets.where("target_weight > 0")
-    line = Window.orderBy("source_name").rowsBetween(Window.unboundedPreceding, 0)
-    arcs = ordered.withColumn("hi", F.sum("target_weight").over(line)).withColumn("lo", F.col("hi") - F.col("target_weight"))
-    arcs = arcs.where("lo < 1").select("source_name", "lo", "hi", F.explode(F.expr(f"sequence(cast(floor(lo * {CELLS}) as int), cast(least(floor(hi * {CELLS}), {CELLS - 1}) as int))")).alias("cell"))
+    line = Window.orderBy("source_name")
+    arcs = ordered.withColumn("hi", F.sum("target_weight").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("source_name").over(line))
+    arcs = arcs.withColumn("lo", F.lag("hi", 1, 0.0).over(line)).withColumn("hi", F.when(F.col("next").isNull() & (F.abs(F.col("hi") - 1) < 1e-6), F.lit(1.0)).otherwise(F.col("hi")))
+    arcs = arcs.select("source_name", "lo", "hi", F.explode(F.expr(f"sequence(cast(least(floor(lo * {CELLS}), {CELLS - 1}) as int), cast(least(floor(hi * {CELLS}), {CELLS - 1}) as int))")).alias("cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), (F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(2**32)) / F.lit(float(2**32))).alias("u"))
     placed = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int")).join(arcs, "cell").where("u >= lo and u < hi").select("slot", "source_name", F.expr("slot div 65536").alias("chunk"))
     sums = placed.groupBy("source_name", "chunk").count()

@@ -4,10 +4,12 @@ Every window of ``min_chars`` code points holds at least one selected hash of ``
 window), so two texts with such a span in common share a fingerprint. Each batch of documents becomes one immutable
 run of (fingerprint, text) rows, bucketed and sorted by fingerprint; a new run is merge-joined with the earlier ones
 and itself, and runs of one level are compacted into one of the next. Candidate pairs are verified on whole texts.
+A table given whole is read once and enters the index in ``BATCHES`` parts by a hash of the text, however it is stored.
 
 Equal texts are one class (64-bit hash and length), so copies are fingerprinted and compared once. A fingerprint that
 more than ``HOT`` texts of a run hold is not paired as it is: its texts get a key for each way a span of ``min_chars``
-can lie over the hash, over all but ``GRID`` of the span, so that only texts which share nearly such a span meet.
+can lie over the hash, over all but ``GRID`` of the span, so that only texts which share nearly such a span meet; the
+groups of a key are paired in blocks (``blocks``). HOT sets the cost only: either way every pair meets.
 
 Defined results for unusual input: null texts and texts under ``min_chars`` share nothing; a null id is left out of
 pairs; the same id twice counts as one document; empty tables give empty results; further columns are ignored.
@@ -23,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.blocks import pairs_within
 from tessella.session import materialise, new_table_path
 
 MIN_CHARS = 250
 GRAM = 64
 HOT = 50
 GRID = 10
+#: Parts in which a table that is given whole enters the index.
+BATCHES = 4
 #: Runs of a level that are compacted into one of the next level.
 FANOUT = 2
 #: Code points hashed at once.
@@ -132,6 +137,15 @@ def fingerprint_rows(docs: DataFrame, text_col: str, min_chars: int = MIN_CHARS,
     return src.mapInArrow(run, "fp bigint, th bigint, n int")
 
 
+def batched_rows(docs: DataFrame, text_col: str, batches: list[DataFrame] | None, min_chars: int, gram: int) -> list[DataFrame]:
+    """The fingerprint rows of each batch; without batches those of the table's parts by a hash of the text, read in one go."""
+    if batches:
+        return [fingerprint_rows(b, text_col, min_chars, gram) for b in batches]
+    part = F.pmod(F.shiftright("th", 17), F.lit(BATCHES)).cast("int")
+    rows = materialise(fingerprint_rows(docs, text_col, min_chars, gram).withColumn("batch", part), "fingerprints", ("batch",))
+    return [rows.where(F.col("batch") == i).select("fp", "th", "n") for i in range(BATCHES)]
+
+
 class FingerprintIndex:
     """Sorted immutable runs of fingerprints with levels."""
 
@@ -139,19 +153,32 @@ class FingerprintIndex:
         self.spark, self.min_chars, self.gram = spark, min_chars, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []
+        self.written: list[tuple[str, str]] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex[:16]}"
         sorted_rows = rows.repartition(self.buckets, "fp").dropDuplicates(["fp", "th", "n"]).sortWithinPartitions("fp")
-        sorted_rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", new_table_path(self.spark, name)).option("compression", "zstd").saveAsTable(name)
+        path = new_table_path(self.spark, name)
+        sorted_rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.written.append((name, path))
         return name
 
-    def add(self, docs: DataFrame, text_col: str) -> tuple[str, list[str]]:
-        """Write the batch's run; returns it and the runs that were there before it."""
-        name, before = self._write(fingerprint_rows(docs, text_col, self.min_chars, self.gram)), [r for _, r in self.runs]
+    def add(self, rows: DataFrame) -> tuple[str, list[str]]:
+        """Write the run of a batch's fingerprint rows; returns it and the runs that were there before it."""
+        name, before = self._write(rows), [r for _, r in self.runs]
         self.runs.append((0, name))
         return name, before
 
+    def drop(self) -> None:
+        """Drop all runs ever written, with their files."""
+        fs = None
+        for name, path in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            fs = fs or p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(p, True)
+        self.runs, self.written = [], []
+
     def compact(self) -> None:
         """Merge runs of one level while a level holds FANOUT of them."""
         while True:
@@ -209,19 +236,19 @@ def _hot_keys(min_chars: int, gram: int):
 
 
 def candidate_pairs(docs: DataFrame, text_col: str, batches: list[DataFrame], index: FingerprintIndex) -> DataFrame:
-    """Pairs of classes that share a fingerprint, each batch joined with the runs before it and with itself."""
+    """Pairs of classes that share a fingerprint, each batch of fingerprint rows joined with the runs before it and with itself."""
     spark, joins, hots = index.spark, [], []
     for batch in batches:
-        run, before = index.add(batch, text_col)
+        run, before = index.add(batch)
         joins += [(run, run), *((run, r) for r in before)]
         hots.append(run)
         if batch is not batches[-1]:
             index.compact()
-    hot = None
+    counts = None
     for r in hots:
-        h = spark.table(r).groupBy("fp").count().where(F.col("count") > HOT).select("fp")
-        hot = h if hot is None else hot.unionAll(h)
-    hot = materialise(hot.distinct(), "hot")
+        h = spark.table(r).groupBy("fp").count()
+        counts = h if counts is None else counts.unionAll(h)
+    hot = materialise(counts.groupBy("fp").agg(F.sum("count").alias("count")).where(F.col("count") > HOT).select("fp"), "hot")
     any_hot = not hot.isEmpty()
     out = None
     for a, b in joins:
@@ -237,8 +264,11 @@ def candidate_pairs(docs: DataFrame, text_col: str, batches: list[DataFrame], in
             rows = h if rows is None else rows.unionAll(h)
         held = rows.groupBy("th", "n").agg(F.collect_set("fp").alias("hot"))
         with_text = held.join(_texts(docs, text_col, held.select("th", "n"), index.min_chars), ["th", "n"]).select("th", "n", "hot", "text")
-        keys = materialise(with_text.mapInArrow(_hot_keys(index.min_chars, index.gram), "off int, span bigint, th bigint, n int"), "hotkeys")
-        out = out.unionAll(_pairs(keys, keys, ["off", "span"]))
+        keys = with_text.mapInArrow(_hot_keys(index.min_chars, index.gram), "off int, span bigint, th bigint, n int")
+        met = pairs_within(keys, ["off", "span"], ["th", "n"])
+        swap = F.struct("th_a", "n_a") > F.struct("th_b", "n_b")
+        side = lambda c, x, y: F.when(swap, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+        out = out.unionAll(met.select(side("th", "b", "a").alias("th_a"), side("n", "b", "a").alias("n_a"), side("th", "a", "b").alias("th_b"), side("n", "a", "b").alias("n_b")))
     return out.distinct()
 
 
@@ -275,20 +305,13 @@ def _verify(min_chars: int):
     return run
 
 
-def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """The table in up to n batches of whole files, so that each file is read by one batch."""
-    files = sorted(docs.inputFiles())
-    n = max(1, min(n, len(files)))
-    if n == 1:
-        return [docs]
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i::n]) for i in range(n)]
-
-
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, gram: int = GRAM, batches: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(classes of documents, verified pairs of classes with the intervals that they share)."""
     docs = docs.select(id_col, text_col)
     index = FingerprintIndex(docs.sparkSession, min_chars, min(gram, min_chars))
-    pairs = materialise(candidate_pairs(docs, text_col, batches or [docs], index), "candidates")
+    rows = batched_rows(docs, text_col, batches, min_chars, index.gram)
+    pairs = materialise(candidate_pairs(docs, text_col, rows, index), "candidates")
+    index.drop()
     ends = pairs.select(F.col("th_a").alias("th"), F.col("n_a").alias("n")).unionAll(pairs.select("th_b", "n_b")).distinct()
     texts = materialise(_texts(docs, text_col, ends, min_chars), "texts")
     a, b = texts.select(F.col("th").alias("th_a"), F.col("n").alias("n_a"), F.col("text").alias("a")), texts.select(F.col("th").alias("th_b"), F.col("n").alias("n_b"), F.col("text").alias("b"))
@@ -306,7 +329,7 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     right = members.select(F.col("doc_id").alias("y"), F.col("th").alias("th_b"), F.col("n").alias("n_b"))
     apart = of.join(left, ["th_a", "n_a"]).join(right, ["th_b", "n_b"]).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
     long = members.where(F.col("n") >= min_chars)
-    copies = long.withColumnRenamed("doc_id", "doc_a").join(long.withColumnRenamed("doc_id", "doc_b"), ["th", "n"]).where("doc_a < doc_b").select("doc_a", "doc_b")
+    copies = pairs_within(long, ["th", "n"], ["doc_id"]).select(F.least("doc_id_a", "doc_id_b").alias("doc_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_b"))
     return apart.unionAll(copies).distinct()
 
 

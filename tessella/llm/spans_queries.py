@@ -7,18 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm import spans
 from tessella.sources.tables import table
 
-#: Batches in which the documents' files enter the index.
-BATCHES = 4
-
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return spans.shared_pairs(docs, batches=spans.batches_of(docs.select("doc_id", "text"), BATCHES))
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
 
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return spans.shared_share(docs, batches=spans.batches_of(docs.select("doc_id", "text"), BATCHES))
+    return spans.shared_share(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_shared": p8_shared}

@@ -80,3 +80,14 @@ def test_other_tokenizers(spark, name):
     docs, _ = frames(spark)
     got = {r.doc_id: r.tokens for r in mixing.token_counts(docs, tokenizer=f"/opt/tokenizers/{name}").collect()}
     assert got[1001] == 0 and got[1002] >= 5000
+
+
+@pytest.mark.parametrize("weights", [(60.0, 40.0), (0.8, 0.8), (0.1, 0.1)])
+def test_weights_are_relative(spark, weights):
+    docs = spark.createDataFrame([(i, " a" * 10, "xy"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    t = spark.createDataFrame([("x", weights[0], 3), ("y", weights[1], 3)], "source_name string, target_weight double, max_repeats int")
+    got = {r.source_name: r for r in mixing.mixture_report(mixing.token_counts(docs), t).collect()}
+    want = weights[0] / sum(weights)
+    assert abs(got["x"].actual_share - want) < 0.01 and abs(got["x"].target_weight - want) < 1e-9
+    assert got["x"].unfilled_slots == got["y"].unfilled_slots == 0
+    assert abs(got["x"].provided_tokens + got["y"].provided_tokens - sum(r.tokens for r in got.values())) <= 2 * 128
