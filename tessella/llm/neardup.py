@@ -3,13 +3,15 @@
 The fingerprint of a text is its word set, cut by word hash into so many blocks that any pair over the threshold differs
 in at most one word in some block (the pair's largest distance is known from the sizes; blocks = distance // 2 + 1, so one
 block lies within radius 1). Of each block a text emits all variants within half that radius, rounded up: the block
-itself and the block without each one of its words. Variants meet in a shuffle; colliding pairs are deduplicated and
-verified on the words. Sizes are put in classes, each at most 1/threshold wide, and a text emits variants for its own
+itself and the block without each one of its words. Variants are shuffled once, by key, and sorted; sets under one key
+whose sketches lie within the pair's largest distance are candidates, deduplicated and verified on the words. Two sets one word apart in a block meet
+under a whole block, so pairs that only share a shortened one are left to other blocks. Sizes are put in classes, each at most 1/threshold wide, and a text emits variants for its own
 class and the next, whose radius and number of blocks both sides share. So no pair over the threshold is missed.
 
 Equal word sets are one class of documents and are hashed once. A variant that more than ``HOT`` sets emit (a block of
 only frequent words) isn't paired as it is: its sets meet only where they also share one of the words that, by corpus
-frequency, are the rarest n - ceil(threshold * n) + 1 of each set, as any pair over the threshold does.
+frequency, are the rarest n - ceil(threshold * n) + 1 of each set, as any pair over the threshold does; groups of a key
+and a word are paired in blocks (``blocks``). HOT sets the cost only: either way every pair meets.
 
 Defined results for unusual input: null and wordless texts are no case; null ids are left out; an id with several texts
 holds for each of them; repeated rows count once; empty tables give empty results; further columns are ignored.
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.blocks import pairs_within
 from tessella.llm.components import components
 from tessella.session import materialise
 
@@ -80,9 +83,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of all variants; hashes: the word hashes of all sets in a row, sizes: how many each set has."""
-    sets, keys = [], []
+def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, whether a whole block) of all variants; hashes: the word hashes of all sets in a row, sizes: how many each
+    set has."""
+    sets, keys, whole = [], [], []
     owner = np.repeat(np.arange(len(sizes)), sizes)
     kinds = {int(n): class_of_size(threshold, int(n)) for n in np.unique(sizes) if n}
     own = np.array([kinds.get(int(n), -1) for n in sizes])
@@ -100,7 +104,8 @@ def variants(hashes: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> tupl
         real = sizes[holder] > 0
         sets += [holder[real], owner]
         keys += [_mix(total ^ salt)[real], _mix((total[slot] - hashes) ^ salt[slot])]
-    return np.concatenate(sets), np.concatenate(keys)
+        whole += [np.ones(int(real.sum()), dtype=bool), np.zeros(len(owner), dtype=bool)]
+    return np.concatenate(sets), np.concatenate(keys), np.concatenate(whole)
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -129,18 +134,80 @@ def word_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _emit(threshold: Fraction):
-    """key, wid, n, sketch of the variants."""
+    """key, wid, n (negative for a shortened block), sketch of the variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(2).flatten().to_pylist()
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat), dtype=np.uint64, count=len(flat))
             sizes = np.asarray(b.column(1)).astype(np.int64)
-            at, keys = variants(hashes, sizes, threshold)
-            sketch = pa.array(sketches(hashes, sizes).view(np.int64))
+            at, keys, whole = variants(hashes, sizes, threshold)
+            sketch, n = pa.array(sketches(hashes, sizes).view(np.int64)), np.where(whole, sizes[at], -sizes[at]).astype(np.int32)
             for lo in range(0, len(at), 200_000):
                 part = pa.array(at[lo : lo + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), b.column(0).take(part), b.column(1).take(part), sketch.take(part)], names=["key", "wid", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000].view(np.int64)), b.column(0).take(part), pa.array(n[lo : lo + 200_000]), sketch.take(part)], names=["key", "wid", "n", "sketch"])
+
+    return run
+
+
+def _most_apart(sizes: np.ndarray, t: Fraction) -> np.ndarray:
+    """Most words in which sets of these sizes together can differ."""
+    p, q = t.numerator, t.denominator
+    return sizes - 2 * ((sizes * p + p + q - 1) // (p + q))
+
+
+def _meet(t: Fraction, hot: int):
+    """Of variants sorted by key: wid_a < wid_b of the candidates under keys of up to hot sets, and for larger keys
+    (crowded) key, wid_a, n and sketch of each variant. A key is held back until it is known to be one or the other."""
+
+    def pairs(key: np.ndarray, wid: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        size, step = np.abs(n), 1
+        at = np.flatnonzero(key[1:] == key[:-1])  # first of two rows, step apart, under one key
+        while len(at):
+            j = at + step
+            near = np.bitwise_count((sketch[at] ^ sketch[j]).view(np.uint64)) <= _most_apart(size[at] + size[j], t)
+            near &= ((n[at] > 0) | (n[j] > 0)) & (wid[at] != wid[j])
+            x, y = wid[at[near]], wid[j[near]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+        return np.concatenate(a), np.concatenate(b)
+
+    def out(a, b, key, n, sketch) -> pa.RecordBatch:
+        m, c = len(a) - len(key), len(key)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.concat_arrays([pa.array(b), pa.nulls(c, pa.int64())]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(key)]), pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(n)]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(sketch)])],
+            names=["wid_a", "wid_b", "key", "n", "sketch"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = None, None  # rows of the last key, of which there may be more; the key, once it is crowded
+        for b in batches:
+            key, wid, n, sketch = (b.column(i).to_numpy() for i in range(4))
+            if held is not None:
+                key, wid, n, sketch = (np.concatenate(x) for x in zip(held, (key, wid, n, sketch), strict=True))
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(first, len(key)))
+            over = (count > hot) | (key[first] == crowded if crowded is not None else False)
+            crowded = key[-1] if over[-1] else None
+            stop = len(key) if over[-1] else first[-1]  # a crowded key is passed on, any other last key waits
+            held = (key[stop:], wid[stop:], n[stop:], sketch[stop:])
+            many = np.repeat(over, count)[:stop]
+            key, wid, n, sketch = key[:stop], wid[:stop], n[:stop], sketch[:stop]
+            x, y = pairs(key[~many], wid[~many], n[~many], sketch[~many])
+            yield out(np.concatenate([x, wid[many]]), y, key[many], np.abs(n[many]), sketch[many])
+        if held is not None and len(held[0]):
+            key, wid, n, sketch = held
+            if len(key) > hot or crowded is not None and key[0] == crowded:
+                yield out(wid, np.empty(0, dtype=np.int64), key, np.abs(n), sketch)
+            else:
+                x, y = pairs(*held)
+                yield out(x, y, key[:0], n[:0], sketch[:0])
 
     return run
 
@@ -153,29 +220,24 @@ def _rare_words(sets: DataFrame, t: Fraction) -> DataFrame:
     return each.join(each.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= share).select("wid", "word")
 
 
-def _meeting(rows: DataFrame, keys: list[str], t: Fraction) -> DataFrame:
-    """Pairs of sets that share the keys and whose sketches lie within the largest distance for their sizes."""
-    a, b = (rows.select(*keys, F.col("wid").alias(f"wid_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    p, q = t.numerator, t.denominator
-    most = f"n_a + n_b - 2 * (((n_a + n_b) * {p} + {p + q - 1}) div {p + q})"
-    return a.join(b, keys).where("wid_a < wid_b").where(f"bit_count(sketch_a ^ sketch_b) <= {most}").select("wid_a", "wid_b")
-
-
 def class_pairs(sets: DataFrame, threshold: float = THRESHOLD, hot: int | None = None) -> DataFrame:
     """wid_a < wid_b of distinct word sets (wid, n, words) whose Jaccard similarity is threshold or more."""
     t = Fraction(threshold).limit_denominator(1000)
-    rows = materialise(sets.select("wid", "n", "words").mapInArrow(_emit(t), "key bigint, wid bigint, n int, sketch bigint"), "variants")
-    crowded = materialise(rows.groupBy("key").count().where(F.col("count") > (HOT if hot is None else hot)).select("key"), "crowded")
-    if crowded.isEmpty():
-        pairs = _meeting(rows, ["key"], t)
-    else:
-        pairs = _meeting(rows.join(crowded, "key", "left_anti"), ["key"], t)
-        held = materialise(rows.join(crowded, "key", "left_semi").distinct(), "held")
+    p, q = t.numerator, t.denominator
+    rows = sets.select("wid", "n", "words").mapInArrow(_emit(t), "key bigint, wid bigint, n int, sketch bigint")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
+    met = materialise(sorted_rows.mapInArrow(_meet(t, HOT if hot is None else hot), "wid_a bigint, wid_b bigint, key bigint, n int, sketch bigint"), "met")
+    pairs = met.where("key is null").select("wid_a", "wid_b")
+    held = met.where("key is not null").select("key", F.col("wid_a").alias("wid"), "n", "sketch").distinct()
+    if not met.where("key is not null").isEmpty():
         rare = _rare_words(sets.join(held.select("wid").distinct(), "wid", "left_semi"), t)
-        pairs = pairs.unionAll(_meeting(materialise(held.join(rare, "wid"), "refined"), ["key", "word"], t))
+        refined = pairs_within(held.join(rare, "wid"), ["key", "word"], ["wid"])
+        most = f"n_a + n_b - 2 * (((n_a + n_b) * {p} + {p + q - 1}) div {p + q})"
+        near = refined.where(f"bit_count(sketch_a ^ sketch_b) <= {most}")
+        pairs = pairs.unionAll(near.select(F.least("wid_a", "wid_b").alias("wid_a"), F.greatest("wid_a", "wid_b").alias("wid_b")))
     x, y = sets.select(F.col("wid").alias("wid_a"), F.col("words").alias("x")), sets.select(F.col("wid").alias("wid_b"), F.col("words").alias("y"))
     both = pairs.distinct().join(x, "wid_a").join(y, "wid_b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") * t.denominator >= (F.size("x") + F.size("y") - F.col("common")) * t.numerator).select("wid_a", "wid_b")
+    return both.where(F.col("common") * q >= (F.size("x") + F.size("y") - F.col("common")) * p).select("wid_a", "wid_b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +252,7 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, threshold:
     members, pairs = near_duplicates(docs, id_col, text_col, threshold, hot)
     a, b = members.select(F.col("doc_id").alias("x"), F.col("wid").alias("wid_a")), members.select(F.col("doc_id").alias("y"), F.col("wid").alias("wid_b"))
     apart = pairs.join(a, "wid_a").join(b, "wid_b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    copies = members.select(F.col("doc_id").alias("a"), "wid").join(members.select(F.col("doc_id").alias("b"), "wid"), "wid").where("a < b").select("a", "b")
+    copies = pairs_within(members, ["wid"], ["doc_id"]).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
     return apart.unionAll(copies).distinct()
 
 

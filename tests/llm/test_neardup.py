@@ -29,8 +29,24 @@ def test_every_pair_over_the_threshold_meets(common, a, b, seed):
         return
     h = np.array([xxhash.xxh64_intdigest(f"{seed}-{i}") for i in range(common + a + b)], dtype=np.uint64)
     flat = np.concatenate((h[: common + a], h[:common], h[common + a :]))
-    at, keys = neardup.variants(flat, np.array([common + a, common + b]), Fraction(4, 5))
-    assert set(keys[at == 0]) & set(keys[at == 1])
+    at, keys, whole = neardup.variants(flat, np.array([common + a, common + b]), Fraction(4, 5))
+    met = set(keys[at == 0]) & set(keys[at == 1])
+    assert met & set(keys[whole])
+
+
+@pytest.mark.parametrize(("hot", "step"), [(3, 1), (3, 7), (50, 4), (0, 5)])
+def test_sorted_variants_meet_across_batches(hot, step):
+    """Every pair under a key of up to hot rows comes out, and every row of larger keys, however the rows are cut into batches."""
+    import pyarrow as pa
+
+    rng = random.Random(hot * 100 + step)
+    rows = [(k, k * 1000 + i, 10, 5) for k in range(12) for i in range(rng.choice([1, 2, 3, 4, 9]))]
+    cut = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + step]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["key", "wid", "n", "sketch"]) for i in range(0, len(rows), step)]
+    got = [r for b in neardup._meet(Fraction(4, 5), hot)(iter(cut)) for r in b.to_pylist()]
+    groups = {k: [r[1] for r in rows if r[0] == k] for k in range(12)}
+    pairs = [(r["wid_a"], r["wid_b"]) for r in got if r["key"] is None]
+    assert sorted(pairs) == sorted(p for g in groups.values() if len(g) <= hot for p in combinations(g, 2))
+    assert sorted(r["wid_a"] for r in got if r["key"] is not None) == sorted(w for g in groups.values() if len(g) > hot for w in g)
 
 
 def near(rng, words, edits):
