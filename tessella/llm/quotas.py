@@ -1,8 +1,8 @@
 """Samples whose shares by category follow targets, by minimum-cost flow on cross-classified cell counts.
 
 Eligible rows of a pool are counted by cell (label, genre, length). For each axis a flow runs from its categories (as much
-as each should have) over arcs of what is available; what only fits on a slack arc is that category's shortfall. The cell
-quotas come from a second flow, source - label - cell - length - sink: floors, targets and overflow are arcs of rising
+as each should have) through the cells, whose arcs hold what is available, or over the category's slack arc, which is dear:
+the flow on it is the category's shortfall. Quotas come from a flow through the same cells, source - label - cell - length - sink: floors, targets and overflow are arcs of rising
 cost at either end; a cell's arcs are cheap up to the whole part of its share in the fitted table (iterative
 proportional fitting to all three axes), then one row at a random cost that falls with the fraction, then dear. So labels
 and lengths follow their targets exactly where that is possible, genres up to rounding, and quotas are drawn at random.
@@ -59,15 +59,22 @@ def wanted_rows(targets: DataFrame, reports: DataFrame) -> DataFrame:
     return each.groupBy("curation_id", "axis", "category").agg(F.max(F.greatest("want", "floor")).alias("want"), F.max("floor").alias("floor"), F.max("size").alias("size"))
 
 
-def slack_of(want: dict[str, int], available: dict[str, int]) -> dict[str, int]:
-    """Flow on the slack arc of each category: what of its want is not available."""
+def shortfalls(cells: pd.DataFrame, axis: str, want: dict[str, int]) -> dict[str, int]:
+    """Flow on the slack arcs of an axis' categories in the network source - category - cell - sink, whose cells hold what is
+    available: what of each want no cell can give."""
+    if not want:
+        return {}
     names = list(want)
-    net = Network(len(names) + 2)
+    at = {c: i + 2 for i, c in enumerate(names)}
+    net = Network(2 + len(names) + len(cells))
     slack = {}
-    for i, c in enumerate(names):
-        net.add(0, i + 2, want[c], 0.0)
-        net.add(i + 2, 1, available.get(c, 0), 0.0)
-        slack[c] = net.add(i + 2, 1, want[c], 1.0)
+    for c in names:
+        net.add(0, at[c], want[c], 0.0)
+        slack[c] = net.add(at[c], 1, want[c], 1.0)
+    for k, (c, rows) in enumerate(zip(cells[axis], cells["rows"], strict=True)):
+        if c in at:
+            net.add(at[c], 2 + len(names) + k, int(rows), 0.0)
+            net.add(2 + len(names) + k, 1, int(rows), 0.0)
     net.solve(0, 1, sum(want.values()))
     return {c: net.flow(a) for c, a in slack.items()}
 
@@ -239,27 +246,29 @@ def cell_quotas(cells: pd.DataFrame, wants: pd.DataFrame, rng: np.random.Generat
 _SOLVED = "curation_id long, kind string, axis string, category string, label string, genre string, length string, want long, available long, unavailable long, quota long"
 
 
-def solve_pool(key: tuple, cells: pd.DataFrame, wants: pd.DataFrame, seed: int) -> pd.DataFrame:
+def solve_pool(key: tuple, cells: pd.DataFrame, wants: pd.DataFrame, seed: int, quotas: bool) -> pd.DataFrame:
     out = []
+    cells = cells.sort_values(list(AXES))
     for a in AXES:
         own = wants[wants["axis"] == a]
         available = cells.groupby(a)["rows"].sum().astype(int).to_dict() if len(cells) else {}
         want = {r.category: int(r.want) for r in own.itertuples()}
-        for c, short in slack_of(want, available).items():
+        for c, short in shortfalls(cells, a, want).items():
             out.append((key[0], "category", a, c, None, None, None, want[c], available.get(c, 0), short, None))
-    cells = cells.sort_values(list(AXES))
-    rng = np.random.default_rng([seed, zlib.crc32(repr(int(key[0])).encode())])
-    for r, q in zip(cells.itertuples(), cell_quotas(cells, wants, rng), strict=True):
-        out.append((key[0], "cell", None, None, r.label, r.genre, r.length, None, int(r.rows), None, int(q)))
+    if quotas:
+        rng = np.random.default_rng([seed, zlib.crc32(repr(int(key[0])).encode())])
+        for r, q in zip(cells.itertuples(), cell_quotas(cells, wants, rng), strict=True):
+            out.append((key[0], "cell", None, None, r.label, r.genre, r.length, None, int(r.rows), None, int(q)))
     return pd.DataFrame(out, columns=["curation_id", "kind", "axis", "category", "label", "genre", "length", "want", "available", "unavailable", "quota"]).astype({k: "Int64" for k in ("want", "available", "unavailable", "quota")})
 
 
-def solved(eligible: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows of kind category (want, available, unavailable) and of kind cell (label, genre, length, quota) of every pool."""
+def solved(eligible: DataFrame, wanted: DataFrame, seed: int = SEED, quotas: bool = True) -> DataFrame:
+    """Rows of kind category (want, available, unavailable) and, with quotas, of kind cell (label, genre, length, quota) of
+    every pool."""
     cells = eligible.groupBy("curation_id", *AXES).agg(F.count("*").alias("rows"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return solve_pool(key, left, right, seed)
+        return solve_pool(key, left, right, seed, quotas)
 
     # the partitions are named, as small ones would be merged into one task by their bytes, and solving takes time
     tasks = int(eligible.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -269,7 +278,7 @@ def solved(eligible: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFram
 
 def unreachable(instances: DataFrame, decisions: DataFrame, reports: DataFrame, targets: DataFrame) -> DataFrame:
     """curation_id, axis, category of every target with a shortfall of available rows."""
-    found = solved(eligible_rows(instances, decisions), wanted_rows(targets, reports))
+    found = solved(eligible_rows(instances, decisions), wanted_rows(targets, reports), quotas=False)
     return found.where("kind = 'category' and unavailable > 0").select("curation_id", "axis", "category")
 
 
