@@ -55,8 +55,22 @@ def test_phrases(spark, monkeypatch):
     want = brute(docs, items)
     assert len(want) > 20 and (500, 3) in want
     assert {tuple(r) for r in leaks.leaked_phrases(d, i).collect()} == want
-    monkeypatch.setattr(leaks, "CHUNK", 300)
-    assert {tuple(r) for r in leaks.leaked_phrases(d, i, block=7).collect()} == want
+    # segments of a few documents, seven items of a segment in a part, few places looked at together
+    for name, value in (("CHUNK", 300), ("ITEMS", 7), ("CELLS", 50)):
+        monkeypatch.setattr(leaks, name, value)
+    assert {tuple(r) for r in leaks.leaked_phrases(d, i).collect()} == want
+
+
+def test_one_index_answers_any_items(spark):
+    """The index holds every term of the corpus, so items that come later need no second reading."""
+    docs, items = cases()
+    d, i = frames(spark, docs, items)
+    index = leaks.build_index(d, "doc_id", "text").cache()
+    held = {r.term for r in index.where("term is not null").collect()}
+    assert held == {w for x, t in docs if x is not None for w in words(t or "")}
+    for part in (i.where("item_id % 2 = 0"), i.where("item_id % 2 = 1")):
+        got = leaks.find_matches(index, leaks.item_terms(part, "item_id", "text")).where("words >= 10").select("doc_id", "item_id")
+        assert {tuple(r) for r in got.collect()} == brute(docs, [tuple(r) for r in part.collect()])
 
 
 def test_proximity_and_report(spark):
