@@ -1,20 +1,28 @@
 """Records whose shape drifts from file to file: change log and rescue-column ingestion.
 
-``field_changes`` lists every added, removed, renamed and retyped top-level field of each file against the file
-before it in its series. ``ingest`` reads all payloads into one typed table: fields of the target schema are cast,
-unknown or uncastable ones stay as JSON in ``_rescued``. ``replay`` promotes approved fields out of ``_rescued``.
+``ingest`` reads every payload once into one typed table that enforces the target schemas: a value fills its column only if
+it has the column's JSON type and survives the cast (3.7 is no bigint, a number no boolean); unknown fields and values that
+don't fit stay as JSON in ``_rescued``, and ``_types`` notes the JSON types that came in. ``field_changes`` lists every
+added, removed, renamed and retyped top-level field of each file against the file before it in its series, from that
+table: types from ``_types``, values from the typed columns and ``_rescued``. ``replay`` moves rescued values into typed
+columns, also under the names that files gave a field later, and promotes approved fields (``APPROVED``): numbers written as
+strings, percents, arrays of one value and objects with a ``value`` give their number; what gives none stays rescued.
 
 Defined results for unusual input: null, empty or malformed payloads hold no field (``ingest`` keeps malformed ones
-whole in ``_corrupt``); files without records have no field, so all fields of the file before are removed; files with
+whole in ``_corrupt``); of a field that a record names twice the last holds; files without records have no field, so all fields of the file before are removed; files with
 a null series_id are not compared; records with a null key are never the same record; equal written_at are ordered by
 file_id; repeated rows of either table count once. Further columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import rescue
 from tessella.session import materialise
 
 # The fields by which records of a kind are the same, and the target schemas with their types.
@@ -59,36 +67,34 @@ AGGREGATE_SCHEMA = {
     "mean_jaccard_R_RO": "double",
     "mean_jaccard_CF_RO": "double",
 }
-# Bits of the JSON types in a type set; null has no bit.
-TYPE_BITS = {"number": 1, "string": 2, "boolean": 4, "array": 8, "object": 16}
-_JSON_NUMBER = r"^\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
-
-
-def _fields_of(payload: str) -> str:
-    """SQL: the top-level fields of a JSON object as map<string, variant>; null for anything else."""
-    v = f"try_parse_json({payload})"
-    return f"case when schema_of_variant({v}) like 'OBJECT<%' then cast({v} as map<string,variant>) end"
-
-
-def _type_bit(value: str) -> str:
-    kind = f"schema_of_variant({value})"
-    b = TYPE_BITS
-    return (
-        f"case when {value} is null or is_variant_null({value}) then 0 when {kind} = 'STRING' then {b['string']} "
-        f"when {kind} = 'BOOLEAN' then {b['boolean']} when {kind} like 'ARRAY%' then {b['array']} "
-        f"when {kind} like 'OBJECT%' then {b['object']} else {b['number']} end"
-    )
-
-
-def _canonical(value: str) -> str:
-    """SQL: a string equal for equal values; a number written as a string equals the number; null for JSON null."""
-    text, bit = f"try_variant_get({value}, '$', 'string')", _type_bit(value)
-    return (
-        f"case when {bit} = 0 then null "
-        f"when {bit} <= {TYPE_BITS['string']} and {text} rlike '{_JSON_NUMBER}' then "
-        f"concat('n', cast(cast({text} as double) + 0.0D as string)) "
-        f"else concat(cast({bit} as string), ':', to_json({value})) end"
-    ).replace("\\", "\\\\")
+# Fields that files add later and that are approved for promotion: record_kind, field, type.
+APPROVED = (
+    ("instance_metrics", "overlap_H_R", "double"),
+    ("instance_metrics", "overlap_H_CF", "double"),
+    ("instance_metrics", "overlap_H_RO", "double"),
+    ("instance_metrics", "overlap_R_CF", "double"),
+    ("instance_metrics", "overlap_R_RO", "double"),
+    ("instance_metrics", "overlap_CF_RO", "double"),
+    ("instance_metrics", "ecs_overlap", "double"),
+    ("instance_metrics", "kendall_H_RO", "double"),
+    ("instance_metrics", "ecs_random", "double"),
+    ("instance_metrics", "ecs_lift", "double"),
+    ("instance_metrics", "ecs_adj", "double"),
+    ("instance_metrics", "ecs_adj_er", "double"),
+    ("instance_metrics", "ecs_extraction_perturbation", "double"),
+    ("instance_metrics", "r_introduced_concept_rate", "double"),
+    ("instance_metrics", "cf_canonical_minimality", "double"),
+    ("aggregate_metrics", "mean_ecs_overlap", "double"),
+    ("aggregate_metrics", "mean_ecs_lift", "double"),
+    ("aggregate_metrics", "mean_ecs_adj", "double"),
+    ("aggregate_metrics", "mean_cc3_size", "double"),
+    ("aggregate_metrics", "kappa_H_R", "double"),
+    ("aggregate_metrics", "highlighting_success_rate", "double"),
+    ("aggregate_metrics", "rationale_success_rate", "double"),
+    ("aggregate_metrics", "counterfactual_success_rate", "double"),
+    ("aggregate_metrics", "spearman_rho", "double"),
+    ("aggregate_metrics", "spearman_p_value", "double"),
+)
 
 
 def file_sequence(files: DataFrame) -> DataFrame:
@@ -109,17 +115,68 @@ def file_sequence(files: DataFrame) -> DataFrame:
     )
 
 
-def file_fields(lines: DataFrame) -> DataFrame:
-    """file_id, field, types: the fields of each file and the set of their JSON types as bits."""
-    return (
-        lines.where("payload is not null and payload <> ''")
-        .select("file_id", F.explode(F.expr(_fields_of("payload"))).alias("field", "value"))
-        .groupBy("file_id", "field")
-        .agg(F.expr(f"bit_or({_type_bit('value')})").alias("types"))
-    )
-
-
-def _renames(seq: DataFrame, status: DataFrame, lines: DataFrame) -> DataFrame:
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in columns.items())
+
+
+def ingest(lines: DataFrame, schema: dict[str, str], keep: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
+    """One typed row per payload: the schema's fields, ``_rescued`` (JSON of unknown fields and of values that don't fit),
+    ``_types`` (field -> bit of its JSON type, 0 for null) and ``_corrupt``."""
+    src = lines.where("payload is not null and payload <> ''").select(*keep, F.col("payload").alias("_payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = {c: rescue.fits(t) for c, t in schema.items()}
+        for b in batches:
+            values: dict[str, list] = {c: [] for c in schema}
+            rescued, types, corrupt = [], [], []
+            for payload in b.column(len(keep)).to_pylist():
+                record = rescue.record_of(payload)
+                held, rest = rescue.enforce(record or {}, fit)
+                for c, column in values.items():
+                    column.append(held.get(c))
+                rescued.append(rescue.text_of(rest) if rest else None)
+                types.append(None if record is None else [(k, rescue.bit_of(v)) for k, v in record.items()])
+                corrupt.append(payload if record is None else None)
+            columns = [pa.array([list(x.items()) if isinstance(x, dict) else x for x in values[c]], rescue.arrow_of(t)) for c, t in schema.items()]
+            kept = [b.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *columns, pa.array(rescued, pa.string()), pa.array(types, pa.map_(pa.string(), pa.int32())), pa.array(corrupt, pa.string())], names=[*keep, *schema, "_rescued", "_types", "_corrupt"])
+
+    kept = {f.name: f.dataType.simpleString() for f in src.schema.fields[:-1]}
+    return src.mapInArrow(run, _ddl({**kept, **schema, "_rescued": "string", "_types": "map<string,int>", "_corrupt": "string"}))
+
+
+def file_fields(table: DataFrame) -> DataFrame:
+    """file_id, field, types: the fields of each file of an ingested table and the set of their JSON types as bits."""
+    return table.select("file_id", F.explode("_types").alias("field", "type")).groupBy("file_id", "field").agg(F.bit_or("type").alias("types"))
+
+
+def _values(rows: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Of ingested rows with file, record_key and wanted: file, rec, field, value of each wanted field of each record
+    (value is '' for null), and a row with a null field for the record itself."""
+    typed = list(schema)
+    src = rows.select("file", "record_key", "wanted", "_rescued", *typed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {c: b.column(4 + i).to_pylist() for i, c in enumerate(typed)}
+            at, recs, fields, values = [], [], [], []
+            for i, (key, wanted, rescued) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                rest = rescue.record_of(rescued) if rescued else {}
+                get = lambda f: columns[f][i] if f in columns and columns[f][i] is not None else rest.get(f)  # noqa: B023,E731
+                rec = get(key)
+                if rec is None:
+                    continue
+                rec = rec if isinstance(rec, str) else rescue.text_of(rec)
+                at += [i] * (len(wanted) + 1)
+                recs += [rec] * (len(wanted) + 1)
+                fields += [None, *wanted]
+                values += ["", *(rescue.canonical(dict(v) if isinstance(v := get(f), list) and schema.get(f, "").startswith("map") else v) or "" for f in wanted)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(recs, pa.string()), pa.array(fields, pa.string()), pa.array(values, pa.string())], names=["file", "rec", "field", "value"])
+
+    return src.mapInArrow(run, f"file {src.schema['file'].dataType.simpleString()}, rec string, field string, value string")
+
+
+def _renames(seq: DataFrame, status: DataFrame, table: DataFrame, schema: dict[str, str]) -> DataFrame:
     """file_id, old_field, new_field where all records in both files agree, at least two of them not null."""
     both = (
         status.groupBy("file_id")
@@ -129,26 +186,16 @@ def _renames(seq: DataFrame, status: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
     def side(id_col: str, wanted: str, out: str) -> DataFrame:
-        own = both.select("file_id", F.col(id_col).alias("_at"), wanted, "record_key")
-        parsed = lines.where("payload is not null and payload <> ''").select(F.col("file_id").alias("_at"), F.expr(_fields_of("payload")).alias("m"))
-        return (
-            own.join(parsed, "_at")
-            .select("file_id", F.expr("try_variant_get(m[record_key], '$', 'string')").alias("rec"), F.explode(wanted).alias(out), "m")
-            .select("file_id", "rec", out, F.expr(_canonical(f"m[{out}]")).alias(f"{out}_value"))
-            .where("rec is not null")
-            .distinct()
-        )
+        """file_id, rec, out, value of what a file's records of one key agree on."""
+        own = both.select(F.col("file_id").alias("file"), F.col(id_col).alias("file_id"), F.col(wanted).alias("wanted"), "record_key")
+        each = _values(table.join(own, "file_id"), schema).groupBy("file", "rec", "field").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+        return materialise(each.where("value = other").select(F.col("file").alias("file_id"), "rec", F.col("field").alias(out), "value"), "values")
 
-    old, new = side("prev_id", "olds", "old_field").withColumnRenamed("olds", "o"), side("file_id", "news", "new_field")
-    return (
-        old.join(new, ["file_id", "rec"])
-        .groupBy("file_id", "old_field", "new_field", "rec")
-        .agg(F.min(F.col("old_field_value").eqNullSafe(F.col("new_field_value"))).alias("agree"), F.max(F.col("old_field_value").isNotNull()).alias("filled"))
-        .groupBy("file_id", "old_field", "new_field")
-        .agg(F.min("agree").alias("agree"), F.sum(F.col("filled").cast("int")).alias("filled"))
-        .where("agree and filled >= 2")
-        .select("file_id", "old_field", "new_field")
-    )
+    old, new = side("prev_id", "olds", "old_field"), side("file_id", "news", "new_field")
+    common = old.where("old_field is null").join(new.where("new_field is null"), ["file_id", "rec"]).groupBy("file_id").agg(F.count("*").alias("common"))
+    agree = old.where("old_field is not null").join(new.where("new_field is not null"), ["file_id", "rec", "value"])
+    agree = agree.groupBy("file_id", "old_field", "new_field").agg(F.count("*").alias("agree"), F.count(F.when(F.col("value") != "", 1)).alias("filled"))
+    return agree.join(common, "file_id").where("agree = common and filled >= 2").select("file_id", "old_field", "new_field")
 
 
 def _linked(islands: DataFrame) -> DataFrame:
@@ -171,10 +218,10 @@ def _linked(islands: DataFrame) -> DataFrame:
     return cur
 
 
-def field_history(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sequence, changes without retyped, fields of each file with from_field, root and earlier types)."""
+def field_history(files: DataFrame, table: DataFrame, schema: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(changes without retyped, fields of each file with from_field, root and earlier types) of an ingested table."""
     seq = materialise(file_sequence(files), "sequence")
-    fields = materialise(file_fields(lines), "fields")
+    fields = materialise(file_fields(table), "fields")
     now = seq.join(fields, "file_id").select("file_id", "field", F.lit(True).alias("now"), F.lit(False).alias("before"))
     before = seq.join(fields.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "field", F.lit(False).alias("now"), F.lit(True).alias("before"))
     status = (
@@ -185,7 +232,7 @@ def field_history(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
         .join(seq.where("prev_id is not null").select("file_id"), "file_id", "left_semi")
     )
     status = materialise(status, "status")
-    renamed = materialise(_renames(seq, status, lines), "renames")
+    renamed = materialise(_renames(seq, status, table, schema), "renames")
     removed = status.where("before").join(renamed.withColumnRenamed("old_field", "field"), ["file_id", "field"], "left_anti")
     added = status.where("now").join(renamed.withColumnRenamed("new_field", "field"), ["file_id", "field"], "left_anti")
     changes = (
@@ -212,61 +259,74 @@ def field_history(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
         F.when(F.col("starts"), F.col("renamed_from")).otherwise(F.col("field")).alias("from_field"),
         F.coalesce("earlier", "carry").alias("earlier"),
     )
-    return seq, changes, history
+    return changes, history
+
+
+def ingested(lines: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table of all records of either kind, with the columns of both target schemas, and these columns."""
+    schema = {**INSTANCE_SCHEMA, **AGGREGATE_SCHEMA}
+    return materialise(ingest(lines, schema), "ingested"), schema
 
 
 def field_changes(files: DataFrame, lines: DataFrame) -> DataFrame:
     """file_id, drift, old_field, new_field: each change of each file against the file before it in its series."""
-    _, changes, history = field_history(files, lines)
+    changes, history = field_history(files, *ingested(lines))
     retyped = history.where("types > 0 and earlier is not null and types <> earlier and from_field is not null")
     return changes.unionAll(retyped.select("file_id", F.lit("retyped"), F.col("from_field"), "field")).distinct()
 
 
-def ingest(lines: DataFrame, schema: dict[str, str], names: DataFrame | None = None, keep: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
-    """One typed row per payload: the schema's fields, ``_rescued`` (JSON of unknown or uncastable fields) and ``_corrupt``.
+def replay(table: DataFrame, columns: dict[str, str], names: DataFrame | None = None) -> DataFrame:
+    """Move rescued values into typed columns, old or new ones; what gives no value of the column's type stays rescued.
 
-    names (file_id, field, root): names under which a field of the schema goes in a file; it fills the schema's column."""
-    rows = lines.where("payload is not null and payload <> ''")
+    names (file_id, field, root): the names under which a field goes in a file; a root's column takes them, too."""
     if names is not None:
-        alias = names.where(F.col("root").isin(*schema) & ~F.col("field").isin(*schema)).groupBy("file_id", "root").agg(F.min("field").alias("field"))
-        alias = alias.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", "field"))).alias("_alias"))
-        rows = rows.join(alias, "file_id", "left")
+        alias = names.where(F.col("root").isin(*columns) & (F.col("root") != F.col("field"))).groupBy("file_id", "root").agg(F.min("field").alias("field"))
+        src = table.join(alias.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("root", "field"))).alias("_alias")), "file_id", "left")
     else:
-        rows = rows.withColumn("_alias", F.lit(None).cast("map<string,string>"))
-    rows = rows.select(*keep, "payload", "_alias", F.expr(_fields_of("payload")).alias("_m"))
-    rows = rows.withColumns({f"_k{i}": F.expr(f"case when map_contains_key(_m, '{c}') then '{c}' else _alias['{c}'] end") for i, c in enumerate(schema)})
-    rows = rows.withColumns({c: F.expr(f"try_variant_get(_m[_k{i}], '$', '{t}')") for i, (c, t) in enumerate(schema.items())})
-    used = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() | F.expr(f"coalesce(is_variant_null(_m[_k{i}]), true)"), F.col(f"_k{i}")) for i, c in enumerate(schema)]))
-    rest = F.map_filter("_m", lambda k, v: ~F.array_contains(F.col("_used"), k))
-    return (
-        rows.withColumn("_used", used)
-        .withColumn("_rest", rest)
-        .select(
-            *keep,
-            *schema,
-            F.when(F.size("_rest") > 0, F.to_json("_rest")).alias("_rescued"),
-            F.when(F.col("_m").isNull(), F.col("payload")).alias("_corrupt"),
-        )
-    )
-
-
-def replay(table: DataFrame, promoted: dict[str, str]) -> DataFrame:
-    """Promote approved fields: cast them out of ``_rescued`` into typed columns; what can't be cast stays rescued."""
-    out = table.withColumn("_m", F.expr(_fields_of("_rescued")))
-    out = out.withColumns({c: F.expr(f"try_variant_get(_m['{c}'], '$', '{t}')") for c, t in promoted.items()})
-    done: list[Column] = [F.when(F.col(c).isNotNull() | F.expr(f"coalesce(is_variant_null(_m['{c}']), true)"), F.lit(c)) for c in promoted]
-    out = out.withColumn("_rest", F.map_filter("_m", lambda k, v: ~F.array_contains(F.array_compact(F.array(*done)), k)))
-    return out.withColumn("_rescued", F.when(F.size("_rest") > 0, F.to_json("_rest"))).drop("_m", "_rest")
-
-
-# Fields that files add later and that are approved for promotion.
-INSTANCE_PROMOTED = {"overlap_H_R": "double", "r_introduced_concept_rate": "double", "ecs_extraction_perturbation": "double"}
-
-
-def consistent_table(files: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
-    """All records of one record_kind in one typed table, renamed fields under the name they had when added."""
-    _, _, history = field_history(files, lines)
+        src = table.withColumn("_alias", F.lit(None).cast("map<string,string>"))
+    own = [c for c in table.columns if c not in columns and c != "_rescued"]
+    held = [c for c in columns if c in table.columns]
+    tail = [c for c in own if c.startswith("_")]
+    out = [*[c for c in table.columns if c in held or c in own and c not in tail], *[c for c in columns if c not in held], "_rescued", *tail]
+    src = src.select(*own, *held, "_rescued", "_alias")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = {c: rescue.fits(t) for c, t in columns.items()}
+        for b in batches:
+            of = dict(zip(b.schema.names, b.columns, strict=True))
+            values = {c: of[c].to_pylist() if c in held else [None] * b.num_rows for c in columns}
+            rescued = of["_rescued"].to_pylist()
+            for i, alias in enumerate(of["_alias"].to_pylist()):
+                rest = rescue.record_of(rescued[i]) if rescued[i] else None
+                if not rest:
+                    continue
+                names_of = dict(alias or ())
+                for c, t in columns.items():
+                    key = c if c in rest else names_of.get(c)
+                    if values[c][i] is None and key in rest:
+                        x = rest[key]
+                        values[c][i] = None if x is None else rescue.mend(x, t, fit[c])
+                        if x is None or values[c][i] is not None:
+                            del rest[key]
+                rescued[i] = rescue.text_of(rest) if rest else None
+            of |= {c: pa.array([list(x.items()) if isinstance(x, dict) else x for x in values[c]], rescue.arrow_of(t)) for c, t in columns.items()}
+            of["_rescued"] = pa.array(rescued, pa.string())
+            yield pa.RecordBatch.from_arrays([of[c] for c in out], names=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields} | columns
+    return src.mapInArrow(run, _ddl({c: kinds[c] for c in out}))
+
+
+def consistent_table(files: DataFrame, lines: DataFrame, kind: str, approved: tuple[tuple[str, str, str], ...] = APPROVED) -> DataFrame:
+    """All records of one record_kind in one typed table: the target schema and the approved fields of the kind, renamed
+    fields under the name they had when added."""
+    table, schema = ingested(lines)
+    _, history = field_history(files, table, schema)
     own = files.where(F.col("record_kind") == kind).select("file_id").distinct()
-    schema = INSTANCE_SCHEMA if kind == "instance_metrics" else AGGREGATE_SCHEMA
-    table = ingest(lines.join(own, "file_id", "left_semi"), schema, history.select("file_id", "field", "root").distinct())
-    return replay(table, INSTANCE_PROMOTED) if kind == "instance_metrics" else table
+    target = INSTANCE_SCHEMA if kind == "instance_metrics" else AGGREGATE_SCHEMA
+    # a column of the other kind's schema is an unknown field here
+    other = F.to_json(F.struct(*[c for c in schema if c not in target]))
+    joined = F.when(F.col("_rescued").isNull(), other).otherwise(F.concat(F.expr("substring(_rescued, 1, length(_rescued) - 1)"), F.lit(","), F.expr("substring(_other, 2)")))
+    rows = table.join(own, "file_id", "left_semi").withColumn("_other", other)
+    rows = rows.withColumn("_rescued", F.when(F.col("_other") == "{}", F.col("_rescued")).otherwise(joined)).select("file_id", "line_no", *target, "_rescued", "_corrupt")
+    return replay(rows, {**target, **{f: t for k, f, t in approved if k == kind}}, history.select("file_id", "field", "root").distinct())

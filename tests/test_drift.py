@@ -121,11 +121,36 @@ def test_empty_and_null(spark):
 def test_ingest_and_replay(spark):
     f = spark.createDataFrame([(1, 1, "instance_metrics", 1), (2, 1, "instance_metrics", 2)], "file_id long, series_id long, record_kind string, written_at long")
     lines = [(1, i, json.dumps({"instance_id": k, "ecs": v})) for i, (k, v) in enumerate([("x", 0.1), ("y", 0.2)])]
-    lines += [(2, i, json.dumps({"instance_id": k, "ECS": str(v), "confidence": [1], "extra": 7})) for i, (k, v) in enumerate([("x", 0.1), ("y", 0.2)])]
+    lines += [(2, i, json.dumps({"instance_id": k, "ECS": str(v), "confidence": [1, 2], "extra": 7, "mean_ecs": 0.5})) for i, (k, v) in enumerate([("x", 0.1), ("y", 0.2)])]
     ls = spark.createDataFrame(lines, "file_id long, line_no int, payload string")
     t = drift.consistent_table(f, ls, "instance_metrics")
     got = {(r.file_id, r.instance_id): r for r in t.collect()}
-    assert got[2, "y"].ecs == 0.2 and got[2, "y"].confidence is None
-    assert json.loads(got[2, "x"]._rescued) == {"confidence": [1], "extra": 7}
+    assert got[2, "y"].ecs == 0.2 and got[2, "y"].confidence is None and got[1, "x"]._rescued is None
+    assert json.loads(got[2, "x"]._rescued) == {"confidence": [1, 2], "extra": 7, "mean_ecs": 0.5}
     again = {(r.file_id, r.instance_id): r for r in drift.replay(t, {"extra": "bigint"}).collect()}
-    assert again[2, "x"].extra == 7 and json.loads(again[2, "x"]._rescued) == {"confidence": [1]}
+    assert again[2, "x"].extra == 7 and json.loads(again[2, "x"]._rescued) == {"confidence": [1, 2], "mean_ecs": 0.5}
+
+
+def test_nothing_is_lost(spark):
+    """A value is in its typed column unchanged, or whole in the rescued JSON."""
+    schema = {"d": "double", "n": "bigint", "b": "boolean", "s": "string", "a": "array<string>", "m": "map<string,bigint>"}
+    values = [None, 3, 3.7, "3", "38.42%", True, "true", [0.5], ["x"], ["x", None], [1, 2], [], {"value": 0.25, "n": 4}, {"k": 1}, {"k": 1.5}, {}, "word", "", 1e300, -0.0]
+    rows = [(1, i, json.dumps({c: v for c in schema} | {"other": v})) for i, v in enumerate(values)]
+    t = drift.ingest(spark.createDataFrame(rows, "file_id long, line_no int, payload string"), schema)
+    strict = {"d": (int, float), "n": int, "b": bool, "s": str}
+    for r in t.collect():
+        v = values[r.line_no]
+        rest = json.loads(r._rescued)
+        assert rest["other"] == v
+        for c in schema:
+            held = r[c]
+            if held is None:
+                assert v is None and c not in rest or rest[c] == v
+            else:
+                assert c not in rest and held == v and (c not in strict or isinstance(v, strict[c] if c != "n" else (int, float)) and (c == "b" or not isinstance(v, bool)))
+    done = {r.line_no: r for r in drift.replay(t, {"d": "double", "n": "bigint", "b": "boolean"}).collect()}
+    d = lambda v: done[values.index(v)].d
+    assert [d(v) for v in ("3", "38.42%", [0.5], {"value": 0.25, "n": 4}, 3.7)] == [3.0, 0.3842, 0.5, 0.25, 3.7]
+    assert d("word") is d([1, 2]) is d({"k": 1}) is d([]) is None and json.loads(done[values.index([1, 2])]._rescued)["d"] == [1, 2]
+    assert done[values.index("3")].n == 3 and done[values.index(3.7)].n is None and done[values.index("true")].b is True
+    assert all(json.loads(done[i]._rescued)["other"] == v for i, v in enumerate(values))
