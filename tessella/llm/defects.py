@@ -120,7 +120,7 @@ def features(reply: replies.Reply, text: str | None, prompt: str | None, label:
     all_text, all_prompt = replies.plain(text), replies.plain(prompt)
     rewrite = reply.key == "rewritten" or "rewritten" in frame
     body = replies.plain(reply.content)
-    whole = bool(body) and bool(all_text) and (body == all_text or (len(body) >= 12 and body in all_text)) or len(body) >= 12 and all_prompt[:40] != "" and all_prompt[:40] in body
+    whole = bool(body) and bool(all_text) and (body == all_text or (len(body) >= 12 and body in all_text)) or len(all_prompt) >= 12 and all_prompt in body
     rows = np.zeros((len(parts), len(FEATURES)), dtype=np.float32)
     for i, c in enumerate(parts):
         x = dict.fromkeys(FEATURES, False)
@@ -236,9 +236,7 @@ def fit(results: DataFrame, fields: dict[str, str], id_col: str, text_col: str,
             if 0 < len(x) <= LONGEST and y is not None:
                 rows.append(x)
                 tags.append(y)
-    model = train(rows, tags, len(TAGS))
-    model.weights[_AT["unfinished"], UNFINISHED] += 100  # not a matter of degree: the clause is unfinished or it isn't
-    return model
+    return train(rows, tags, len(TAGS))
 
 
 def tagged(results: DataFrame, model: ChainField, fields: dict[str, str], id_col: str, text_col: str, label_col: str, source_col: str) -> DataFrame:
