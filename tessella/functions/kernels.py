@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 _FENCED = re.compile(r"```(?:\w+)?[ \t]*\r?\n?(.*?)```", re.S)
 _BRACED = re.compile(r"\{.*\}", re.S)
-_QUOTE = re.compile(r'((?<!\\)")')
+#: Quotes that no backslash escapes; a backslash escapes the character after it, also another backslash.
+_QUOTE = re.compile(r'((?<!\\)(?:\\\\)*")')
 #: Marks at the ends of changed words that are not part of them; hyphens within words stay.
 _EDGE = "!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~-–—‘’“”…"
 
@@ -22,6 +23,8 @@ _EDGE = "!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~-–—‘’“”…"
 def escape_inner_quotes(text: str) -> str:
     """Quotes inside string values escaped: a quote ends a string only before , } ] : or the end."""
     parts = _QUOTE.split(text)
+    for i in range(1, len(parts), 2):  # escaped backslashes before a quote belong to what stands before
+        parts[i - 1], parts[i] = parts[i - 1] + parts[i][:-1], '"'
     inside = False
     for i in range(1, len(parts), 2):
         if not inside:

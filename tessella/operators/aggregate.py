@@ -55,6 +55,16 @@ def weighted_columns() -> dict[str, Column]:
     return {"mean_ecs_random_weighted": mean_where("ecs_random_weighted", lift.isNotNull()), "mean_ecs_lift_weighted": safe_mean(lift), "n_lift_weighted": F.count(lift)}
 
 
+def outcome_columns() -> dict[str, Column]:
+    """Columns over measured replies with right (null where a label is missing), model_refused, declined, changed_share and cf_error."""
+    right = F.col("right")
+    out = {"n_instances": F.count("*"), "n_judged": F.count(right), "accuracy": safe_mean(right.cast("double"))}
+    for name, when in (("correct", right), ("incorrect", ~right)):
+        out |= {f"mean_ecs_{name}": mean_where("ecs", when), f"n_ecs_{name}": F.count(F.when(when, F.col("ecs"))), f"mean_ecs_adj_{name}": mean_where("ecs_adj", when)}
+    out |= {"refusal_rate": rate(F.col("model_refused")), "declined_rate": rate(F.col("declined")), "cf_valid_rate": rate(F.col("cf_error").isNull()), "flip_rate": rate(~F.col("cf_error").isin("no reply", "no JSON object", "null", "no string", "unknown label", "no flip") | F.col("cf_error").isNull()), "mean_minimality": safe_mean("changed_share"), "n_minimality": F.count("changed_share")}
+    return out
+
+
 def pair_counts() -> Column:
     """Defined values of nine pair measures as a map."""
     names = [*[f"jaccard_{k}" for k in _PAIR_NAMES], "rbo", "kendall", "kendall_normalized"]

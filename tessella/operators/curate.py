@@ -118,12 +118,16 @@ def balanced_quotas(labels: DataFrame, target: int, group: str = "dataset") -> D
     at = labels.withColumn("k", F.row_number().over(w)).withColumn("t", t).withColumn("even", F.floor(F.col("t") / n) + (F.row_number().over(w) <= F.col("t") % n).cast("int"))
     at = at.withColumn("base", F.least("even", "available")).withColumn("room", F.col("available") - F.col("base"))
     at = at.withColumn("deficit", F.col("t") - F.sum("base").over(Window.partitionBy(group)))
-    # after L full rounds the labels have given sum(min(room, L)); the last round stops where the deficit is used up
-    rooms = F.collect_list("room").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    at = at.withColumn("rooms", rooms)
-    given = lambda level: F.aggregate("rooms", F.lit(0).cast("long"), lambda s, r: s + F.least(r, level))
-    levels = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("deficit"), F.lit(0)).cast("long")), lambda lv: given(lv) <= F.col("deficit"))
-    at = at.withColumn("level", F.array_max(levels)).withColumn("rest", F.col("deficit") - given(F.col("level")))
+    # after L full rounds the labels have given sum(min(room, L)); the last round stops where the deficit is used up. The labels
+    # in the order of their room tell the level: up to the room of the i-th, its forerunners are used up, the others alike
+    up = Window.partitionBy(group).orderBy("room", "label")
+    at = at.withColumn("n", n).withColumn("i", F.row_number().over(up))
+    at = at.withColumn("given", F.sum("room").over(up.rowsBetween(Window.unboundedPreceding, 0)) + F.col("room") * (F.col("n") - F.col("i")))
+    within = F.col("given") <= F.col("deficit")
+    last = F.max(F.when(within, F.struct("i", "room", "given"))).over(Window.partitionBy(group))
+    at = at.withColumn("last", F.coalesce(last, F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("room"), F.lit(0).cast("long").alias("given"))))
+    more = F.coalesce(F.floor(F.try_divide(F.col("deficit") - F.col("last.given"), F.col("n") - F.col("last.i"))), F.lit(0))
+    at = at.withColumn("level", F.col("last.room") + more).withColumn("rest", F.col("deficit") - F.col("last.given") - more * (F.col("n") - F.col("last.i")))
     takes = (F.col("room") > F.col("level")).cast("int")
     at = at.withColumn("extra", F.least("room", "level") + F.when((takes == 1) & (F.sum(takes).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("rest")), 1).otherwise(0))
     return at.select(group, "label", "available", (F.col("base") + F.col("extra")).cast("long").alias("quota"))

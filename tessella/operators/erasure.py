@@ -5,7 +5,7 @@ prediction has an undefined flip, and undefined flips are left out of rates, whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import measures as m
@@ -22,6 +22,15 @@ def known_predictions(results: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower(F.trim("model")).alias("model"), F.sha2("text", 256).alias("text_hash")).agg(F.max_by("predicted_label", F.struct("recorded_at", "result_id")).alias("label"))
 
 
+def word_scorer(text: Column, labels: Column) -> Column:
+    """A fixed linear classifier: the label with the largest sum of its words' weights (-100 to 100, by a checksum of label and
+    word), the first of equals. Stands in for a model where none runs."""
+    low = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    weight = lambda label, w: F.pmod(F.crc32(F.concat(label, F.lit(":"), w)), F.lit(201)) - 100
+    sums = F.transform(labels, lambda x, i: F.struct(F.aggregate(low, F.lit(0).cast("bigint"), lambda s, w: s + weight(x, w)).alias("s"), (-i).alias("i"), x.alias("label")))
+    return F.array_max(sums)["label"]
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """rows with one row per target: the four evidence sets, both consensus cores, and random words of the core's size
     (seeded, TRIALS draws)."""
@@ -35,14 +44,26 @@ def targets(rows: DataFrame) -> DataFrame:
     return out.select("result_id", "model", "dataset", "instance_id", "text", "predicted_label", F.explode(F.array(*sets, *cores, *random)).alias("x")).select("result_id", "model", "dataset", "instance_id", "text", "predicted_label", "x.target", "x.trial", "x.tokens").where(F.size("tokens") > 0)
 
 
+def _erased(rows: DataFrame) -> DataFrame:
+    """The targets with both operators' erased texts."""
+    each = settled(targets(rows), {"_low": F.transform("tokens", lambda t: F.lower(t))})
+    both = F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), tx.erase(F.col("text"), F.col("_low"), o).alias("erased")) for o in OPERATORS]))
+    return each.withColumn("x", both).select("result_id", "model", "dataset", "instance_id", "text", "predicted_label", "target", "trial", F.size("tokens").alias("n"), "x.operator", "x.erased")
+
+
+_FLIPS = ("result_id", "model", "dataset", "instance_id", "target", "trial", "operator", "n")
+
+
 def flips(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """result_id, model, dataset, target, trial, operator, n, flipped (null without a prediction for the erased text)."""
-    each = targets(rows)
-    each = settled(each, {"_low": F.transform("tokens", lambda t: F.lower(t))})
-    low = F.col("_low")
-    both = F.explode(F.array(*[F.struct(F.lit(o).alias("operator"), tx.erase(F.col("text"), low, o).alias("erased")) for o in OPERATORS]))
-    long = each.withColumn("x", both).select("result_id", "model", "dataset", "instance_id", "predicted_label", "target", "trial", F.size("tokens").alias("n"), "x.operator", F.sha2("x.erased", 256).alias("text_hash"))
-    return long.join(predictions, ["model", "text_hash"], "left").select("result_id", "model", "dataset", "instance_id", "target", "trial", "operator", "n", (F.col("label") != F.col("predicted_label")).alias("flipped"))
+    long = _erased(rows).withColumn("text_hash", F.sha2("erased", 256))
+    return long.join(predictions, ["model", "text_hash"], "left").select(*_FLIPS, (F.col("label") != F.col("predicted_label")).alias("flipped"))
+
+
+def scored_flips(rows: DataFrame, labels: Column) -> DataFrame:
+    """As flips, with the word scorer's labels of the text and of the erased text."""
+    before = settled(rows, {"predicted_label": word_scorer(F.col("text"), labels)})
+    return _erased(before).select(*_FLIPS, (word_scorer(F.col("erased"), labels) != F.col("predicted_label")).alias("flipped"))
 
 
 def per_instance(flipped: DataFrame) -> DataFrame:

@@ -17,23 +17,24 @@ EVENT_STRATEGIES = {"click": "H", "view": "R", "purchase": "CF", "signup": "RO"}
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """user_id, strategy ('-' for vocabulary only), token, score (largest), first (earliest time and id)."""
+    """user_id, strategy ('-' for vocabulary only), token, score (largest), first (earliest time and id), times."""
     kind = F.create_map(*[F.lit(x) for kv in EVENT_STRATEGIES.items() for x in kv])
     return (
         events.select("user_id", F.coalesce(kind[F.col("event_type")], F.lit("-")).alias("strategy"), F.get_json_object("props", "$.k").alias("token"), F.col("value").alias("score"), F.struct("ts", "event_id").alias("at"))
         .where("user_id is not null and token is not null")
         .groupBy("user_id", "strategy", "token")
-        .agg(F.max("score").alias("score"), F.min("at").alias("first"))
+        .agg(F.max("score").alias("score"), F.min("at").alias("first"), F.count("*").alias("times"))
     )
 
 
 def wide(evidence: DataFrame) -> DataFrame:
-    """dataset, model, instance_id, user_id, the sets H R CF RO, rankings h_rank (by score) and ro_rank (by time), vocabulary."""
+    """dataset, model, instance_id, user_id, the sets H R CF RO, rankings h_rank (by score) and ro_rank (by time), vocabulary
+    (distinct tokens), words (all tokens)."""
     of = lambda s: F.col("strategy") == s
     sets = [F.array_sort(F.collect_list(F.when(of(s), F.col("token")))).alias(s) for s in m.STRATEGIES]
     by_score = F.array_sort(F.collect_list(F.when(of("H"), F.struct((-F.coalesce("score", F.lit(0.0))).alias("o"), F.col("token").alias("token")))))
     by_time = F.array_sort(F.collect_list(F.when(of("RO"), F.struct(F.col("first").alias("o"), F.col("token").alias("token")))))
-    rows = evidence.groupBy("user_id").agg(*sets, by_score.getField("token").alias("h_rank"), by_time.getField("token").alias("ro_rank"), F.countDistinct("token").cast("int").alias("vocabulary"))
+    rows = evidence.groupBy("user_id").agg(*sets, by_score.getField("token").alias("h_rank"), by_time.getField("token").alias("ro_rank"), F.countDistinct("token").cast("int").alias("vocabulary"), F.sum("times").alias("words"))
     inst = F.expr("user_id div 3")
     return rows.select((inst % 3).alias("dataset"), (F.col("user_id") % 3).alias("model"), inst.alias("instance_id"), "*")
 

@@ -34,8 +34,12 @@ def _typed(obj: str, path: str, kind: str) -> Column:
 
 
 def with_object(rows: DataFrame, reply: str, name: str = "_obj") -> DataFrame:
-    """rows with the reply's JSON object as a variant; null where there is none."""
-    return settled(rows, {name: F.try_parse_json(kernels.extract_json(F.col(reply)))})
+    """rows with the reply's JSON object as a variant; null where there is none. Replies that are an object as they stand are
+    parsed in the JVM; only the others go through the tolerant kernel."""
+    whole = F.when(F.col(reply).rlike(r"^\s*\{"), F.try_parse_json(F.col(reply)))
+    out = settled(rows, {"_whole": whole})
+    out = out.withColumn("_rest", kernels.extract_json(F.when(F.col("_whole").isNull(), F.col(reply))))
+    return settled(out, {name: F.coalesce(F.col("_whole"), F.try_parse_json("_rest"))}).drop("_whole", "_rest")
 
 
 def confidence(rows: DataFrame, reply: str) -> DataFrame:

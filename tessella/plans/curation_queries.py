@@ -131,12 +131,20 @@ def normalized_tokens(spark, sf_dir):
     return _instances(spark, sf_dir).where("text is not null").select("instance_id", F.array_join(tx.normalize_tokens(tx.words(F.col("text"))), " ").alias("tokens"))
 
 
+PROMPTS = ["rationale_explain_prompt", "counterfactual_explain_prompt", "confidence_prompt"]
+REPLIES = ["raw_highlighting", "raw_rank_ordering", "raw_rationale", "raw_counterfactual", "confidence_raw_response"]
+
+
 def prompt_hash(spark, sf_dir):
-    return table(spark, sf_dir, "instance_results").where("rationale_explain_prompt is not null").select("result_id", tx.prompt_hash(F.col("rationale_explain_prompt")).alias("hash"))
+    """The hash of every prompt of every result."""
+    rows = table(spark, sf_dir, "instance_results").select("result_id", *PROMPTS).unpivot("result_id", PROMPTS, "prompt", "text")
+    return rows.where("text is not null").select("result_id", "prompt", tx.prompt_hash(F.col("text")).alias("hash"))
 
 
 def refusals(spark, sf_dir):
-    return table(spark, sf_dir, "instance_results").select("result_id", tx.is_refusal(F.col("raw_rationale")).alias("is_refusal"))
+    """Whether each reply of each result holds a phrase of refusal."""
+    rows = table(spark, sf_dir, "instance_results").select("result_id", *REPLIES).unpivot("result_id", REPLIES, "reply", "text")
+    return rows.select("result_id", "reply", tx.is_refusal(F.col("text")).alias("is_refusal"))
 
 
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -162,6 +170,15 @@ pool AS (SELECT instance_id, dataset, label, length_bucket FROM pk WHERE r <= qu
 d AS (SELECT instance_id, x[2] AS decision, x[3] AS reason FROM (SELECT instance_id, max((decided_at, decision, reason)) AS x FROM decisions GROUP BY 1)),
 v AS (SELECT i.instance_id, CASE WHEN decision IS NULL THEN 'undecided' WHEN lower(trim(decision)) = 'keep' THEN 'keep' ELSE coalesce(nullif(trim(d.reason), ''), 'unspecified') END AS verdict FROM i LEFT JOIN d USING (instance_id))
 """
+# what an even split leaves open is given out row by row, in rounds over the labels that have rows left
+_QUOTAS = f""", la AS (SELECT dataset, label, count(*) AS available FROM k WHERE label IS NOT NULL GROUP BY ALL),
+lb AS (SELECT *, least({TARGET}, sum(available) OVER (PARTITION BY dataset))::bigint AS t, row_number() OVER (PARTITION BY dataset ORDER BY label) AS o, count(*) OVER (PARTITION BY dataset) AS c FROM la),
+lc AS (SELECT *, least(available, t // c + (o <= t % c)::int) AS base FROM lb),
+ld AS (SELECT *, t - sum(base) OVER (PARTITION BY dataset) AS deficit FROM lc),
+le AS (SELECT dataset, label, deficit, row_number() OVER (PARTITION BY dataset ORDER BY turn, o) AS place FROM (SELECT *, unnest(range(available - base)) AS turn FROM ld)),
+lf AS (SELECT dataset, label, count(*) AS extra FROM le WHERE place <= deficit GROUP BY ALL),
+bq AS (SELECT ld.dataset, ld.label, available, (base + coalesce(extra, 0))::bigint AS quota FROM ld LEFT JOIN lf ON lf.dataset IS NOT DISTINCT FROM ld.dataset AND lf.label = ld.label)
+"""
 _ERASED = "[" + ", ".join(f"'{w}'" for w in ERASED) + "]"
 _BARE = "lower(trim(w, '.,!?;:()[]{}''\"'))"
 _TOKENS = f"list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')"
@@ -193,6 +210,8 @@ ORACLE = {
     "exact_dedup": f"WITH k AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS key FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS first_id FROM k) SELECT * FROM f WHERE doc_id > first_id",
     "erase_mask": _I + f"SELECT instance_id, array_to_string(list_transform({_TOKENS}, lambda w: CASE WHEN list_contains({_ERASED}, {_BARE}) THEN '[MASK]' ELSE w END), ' ') AS text FROM i",
     "erase_delete": _I + f"SELECT instance_id, array_to_string(list_filter({_TOKENS}, lambda w: NOT list_contains({_ERASED}, {_BARE})), ' ') AS text FROM i",
-    "prompt_hash": "SELECT result_id, substr(sha256(rationale_explain_prompt), 1, 16) AS hash FROM instance_results WHERE rationale_explain_prompt IS NOT NULL",
-    "refusals": "SELECT result_id, coalesce(regexp_matches(lower(raw_rationale), 'i cannot|i can''t|i''m unable|i am unable|not able to|i apologize|i''m sorry|i am sorry|cannot fulfill|cannot complete|not appropriate|against policy|not permitted'), false) AS is_refusal FROM instance_results",
+    "balanced_quotas": _I + _QUOTAS + "SELECT dataset, label, available, quota FROM bq",
+    "select_balanced": _I + _QUOTAS + "SELECT dataset, label, quota AS n FROM bq WHERE quota > 0",
+    "prompt_hash": "SELECT result_id, prompt, substr(sha256(text), 1, 16) AS hash FROM (UNPIVOT (SELECT result_id, " + ", ".join(PROMPTS) + " FROM instance_results) ON " + ", ".join(PROMPTS) + " INTO NAME prompt VALUE text)",
+    "refusals": "SELECT result_id, reply, coalesce(regexp_matches(lower(text), 'i cannot|i can''t|i''m unable|i am unable|not able to|i apologize|i''m sorry|i am sorry|cannot fulfill|cannot complete|not appropriate|against policy|not permitted'), false) AS is_refusal FROM (SELECT result_id, " + ", ".join(REPLIES) + " FROM instance_results) UNPIVOT INCLUDE NULLS (text FOR reply IN (" + ", ".join(REPLIES) + "))",
 }

@@ -93,7 +93,8 @@ def ecs_grouping_sets(spark, sf_dir):
 
 
 def aggregate_all(spark, sf_dir):
-    return aggregate.grouped(_measured(spark, sf_dir))
+    """Every aggregate column at every level."""
+    return aggregate.grouped(_measured(spark, sf_dir), {k: c if k.startswith("n_") or k.endswith("_n") or k == "degenerate_pairs" else F.round(c, 6) for k, c in aggregate.summary_columns().items()})
 
 
 def pair_counts(spark, sf_dir):
@@ -101,8 +102,9 @@ def pair_counts(spark, sf_dir):
 
 
 def length_strata(spark, sf_dir):
-    rows = aggregate.with_length(_measured(spark, sf_dir), F.col("vocabulary"))
-    return rows.groupBy("length_stratum").agg(F.count("*").alias("n"), F.round(aggregate.safe_mean("ecs"), 6).alias("mean_ecs"), F.round(aggregate.safe_mean("ecs_adj"), 6).alias("mean_ecs_adj"))
+    """Scores by the number of words of the text; n counts the rows with a score."""
+    rows = aggregate.with_length(_measured(spark, sf_dir), F.col("words"))
+    return rows.groupBy("length_stratum").agg(F.count("ecs").alias("n"), F.round(aggregate.safe_mean("ecs"), 6).alias("mean_ecs"), F.round(aggregate.safe_mean("ecs_adj"), 6).alias("mean_ecs_adj"))
 
 
 def vocab_strata(spark, sf_dir):
@@ -193,9 +195,9 @@ def cell_means_pivot(spark, sf_dir):
 
 
 def anti_join_resume(spark, sf_dir):
-    """Users without a purchase yet: what a resumed run still has to do."""
+    """What a resumed run still has to do: users whose last event, by time and id, isn't an error."""
     ev = table(spark, sf_dir, "events").where("user_id is not null")
-    done = ev.where("event_type = 'error'").select("user_id")
+    done = ev.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).where("last = 'error'")
     return ev.select("user_id").distinct().join(done, "user_id", "left_anti")
 
 
@@ -255,6 +257,39 @@ def _pivot(col: str, prefix: str) -> str:
 
 _GROUPS = "CASE GROUPING(model, dataset) WHEN 0 THEN 'model_dataset' WHEN 1 THEN 'model' WHEN 2 THEN 'dataset' ELSE 'overall' END AS level, model, dataset"
 
+# one row per user with what is aggregated
+_WIDE = (
+    ", wp AS (SELECT user_id, "
+    + ", ".join(f"max({c}) FILTER (pair = '{k}') AS {p}_{k}" for c, p in (("j", "jaccard"), ("o", "overlap")) for k in _NAMES)
+    + """ FROM aj GROUP BY 1),
+  n3 AS (SELECT user_id, count(*) FILTER (n >= 3) AS c3, count(*) FILTER (n >= 4) AS c4 FROM hold GROUP BY 1),
+  w AS (SELECT ad.*, wp.* EXCLUDE (user_id), rbo, tau AS kendall, (tau + 1) / 2 AS kendall_normalized, coalesce(c3, 0) AS c3, coalesce(c4, 0) AS c4, n_components = 3 AS whole
+    FROM ad LEFT JOIN wp USING (user_id) LEFT JOIN rb USING (user_id) LEFT JOIN kt USING (user_id) LEFT JOIN n3 USING (user_id))
+"""
+)
+
+
+def _mean(value: str, name: str) -> str:
+    return f"round(coalesce({value}, 0), 6) AS {name}"
+
+
+_ALL = (
+    _WIDE
+    + f"SELECT {_GROUPS}, count(*) AS n_instances, count(ecs) AS n_ecs, "
+    + ", ".join(
+        [
+            _mean("avg(ecs)", "mean_ecs"), _mean("stddev_samp(ecs)", "std_ecs"), _mean("quantile_cont(ecs, 0.5)", "median_ecs"),
+            *[_mean(f"avg({p}_{k})", f"mean_{p}_{k}") for p in ("jaccard", "overlap") for k in _NAMES],
+            *[_mean(f"avg({c})", f"mean_{c}") for c in ("rbo", "kendall", "kendall_normalized", "ecs_overlap", "ecs_er", "ecs_ep", "ecs_random", "ecs_lift", "ecs_adj", "er_adj", "ep_adj", "rp_adj")],
+            "count(ecs_adj) AS n_ecs_adj", _mean("avg(ecs_adj) FILTER (whole)", "mean_ecs_adj_complete"), "count(ecs_adj) FILTER (whole) AS n_ecs_adj_complete", "coalesce(sum(n_degenerate), 0)::bigint AS degenerate_pairs",
+            _mean("avg(c3)", "mean_cc3_size"), _mean("100 * avg((c3 > 0)::int)", "cc3_percent"), _mean("avg(c4)", "mean_cc4_size"), _mean("100 * avg((c4 > 0)::int)", "cc4_percent"),
+            _mean("avg(ecs) FILTER (nv = 4)", "complete_case_mean"), "count(ecs) FILTER (nv = 4) AS complete_case_n", _mean("avg(ecs) FILTER (nv < 4)", "partial_mean"), "count(ecs) FILTER (nv < 4) AS partial_n",
+            _mean("avg(ecs) FILTER (v <= 20)", "short_vocab_mean"), _mean("avg(ecs) FILTER (v > 20)", "long_vocab_mean"),
+        ]
+    )
+    + " FROM w GROUP BY GROUPING SETS ((model, dataset), (model), (dataset), ())"
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -280,7 +315,9 @@ ORACLE = {
     + f""" SELECT {_GROUPS}, count(*) AS n_instances, count(ecs) AS n_ecs, round(coalesce(avg(ecs), 0), 6) AS mean_ecs, round(coalesce(stddev_samp(ecs), 0), 6) AS std_ecs, round(coalesce(quantile_cont(ecs, 0.5), 0), 6) AS median_ecs,
       round(coalesce(avg(ecs_adj), 0), 6) AS mean_ecs_adj, round(coalesce(avg(rbo), 0), 6) AS mean_rbo, round(coalesce(avg(coalesce(n3, 0)), 0), 6) AS mean_cc3_size, count(ecs) FILTER (nv = 4) AS complete_case_n, round(coalesce(avg(ecs_lift), 0), 6) AS mean_ecs_lift
       FROM ad LEFT JOIN rb USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n3 FROM hold WHERE n >= 3 GROUP BY 1) USING (user_id) GROUP BY GROUPING SETS ((model, dataset), (model), (dataset), ())""",
-    "length_strata": _BASE + "SELECT CASE WHEN v <= 20 THEN 'short' WHEN v <= 50 THEN 'medium' ELSE 'long' END AS length_stratum, count(*) AS n, round(coalesce(avg(ecs), 0), 6) AS mean_ecs, round(coalesce(avg(ecs_adj), 0), 6) AS mean_ecs_adj FROM ad GROUP BY 1",
+    "aggregate_all": _BASE + _ALL,
+    "pair_counts": _BASE + _WIDE + f"SELECT {_GROUPS}, '{{' || " + " || ',' || ".join(f"'\"{c}\":' || count({c})" for c in [*[f"jaccard_{k}" for k in _NAMES], "rbo", "kendall", "kendall_normalized"]) + " || '}' AS pair_ns FROM w GROUP BY GROUPING SETS ((model, dataset), (model), (dataset), ())",
+    "length_strata": _BASE + ", wc AS (SELECT user_id, count(*) AS words FROM ev GROUP BY 1) SELECT CASE WHEN words <= 20 THEN 'short' WHEN words <= 50 THEN 'medium' ELSE 'long' END AS length_stratum, count(ecs) AS n, round(coalesce(avg(ecs), 0), 6) AS mean_ecs, round(coalesce(avg(ecs_adj), 0), 6) AS mean_ecs_adj FROM ad JOIN wc USING (user_id) GROUP BY 1",
     "vocab_strata": _BASE + "SELECT v <= 20 AS short_vocab, count(*) AS n, round(coalesce(avg(ecs), 0), 6) AS mean_ecs FROM ad GROUP BY 1",
     "cross_model_pairs": _BASE + "SELECT dataset, instance_id, strategy, model_a, model_b, round(j, 6) AS jaccard, round(aj, 6) AS aj FROM xa",
     "cross_model_agreement": _BASE + "SELECT dataset, strategy, count(j) AS n_pairs, round(avg(j), 6) AS mean_jaccard, count(aj) AS n_adjusted, round(avg(aj), 6) AS mean_aj FROM xa GROUP BY ALL",
@@ -303,6 +340,6 @@ SELECT event_type, third, p, round(max(raw) OVER (ORDER BY p, event_type, third
       SELECT extreme, position::int AS position, instance_id, user_id, ecs FROM h WHERE position <= 5 UNION ALL SELECT extreme, position::int, instance_id, user_id, ecs FROM l WHERE position <= 5""",
     "measures_unpivot": _BASE + ", a AS (SELECT user_id, round(ecs, 6) AS ecs, round(ecs_adj, 6) AS ecs_adj, round(rbo, 6) AS rbo, round(tau, 6) AS kendall FROM ad LEFT JOIN rb USING (user_id) LEFT JOIN kt USING (user_id)) UNPIVOT a ON ecs, ecs_adj, rbo, kendall INTO NAME measure VALUE value",
     "cell_means_pivot": _BASE + "SELECT dataset, " + ", ".join(f"round(avg(ecs) FILTER (model = {k}), 6) AS model_{k}" for k in range(3)) + " FROM ad GROUP BY 1",
-    "anti_join_resume": "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)",
+    "anti_join_resume": "SELECT user_id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1 AND event_type IS DISTINCT FROM 'error'",
     "last_wins_dedup": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions.measures import jaccard, minimality, symmetric_difference
-from tessella.operators import aggregate, erasure, evidence, parse, resample
+from tessella.operators import aggregate, crossmodel, erasure, evidence, parse, resample
 from tessella.session import materialise
 from tessella.sources import sinks
 from tessella.sources.tables import table
@@ -76,19 +76,44 @@ def confidence_correlation(spark, sf_dir):
     return resample.spearman(materialise(m.join(c, "result_id"), "pairs"), ["model"], "confidence_parsed", "ecs_adj")
 
 
+def _flips(spark, sf_dir):
+    return materialise(erasure.scored_flips(_replies(spark, sf_dir), parse.label_set(F.col("dataset"))), "flips")
+
+
 def erasure_rates(spark, sf_dir):
-    """Flip rates of erased evidence, with the table's own second predictions standing in for a classifier."""
-    r = _replies(spark, sf_dir)
-    return erasure.rates(erasure.flips(r, erasure.known_predictions(table(spark, sf_dir, "instance_results"))))
+    """Flip rates of erased evidence under the word scorer."""
+    return erasure.rates(_flips(spark, sf_dir))
 
 
 def erasure_gap_tests(spark, sf_dir):
     """Flips of the consensus core less those of random words, tested per model and operator, with Holm correction."""
-    r = _replies(spark, sf_dir)
-    gaps = erasure.core_gaps(erasure.flips(r, erasure.known_predictions(table(spark, sf_dir, "instance_results"))))
+    gaps = erasure.core_gaps(_flips(spark, sf_dir))
     return resample.holm(resample.sign_flip_test(gaps, ["model", "operator"], ["result_id", "operator"], "gap", least=6))
 
 
+def erasure_tier_gaps(spark, sf_dir):
+    """Mean gap of the core over random words by tier of agreement and operator."""
+    gaps = erasure.core_gaps(_flips(spark, sf_dir))
+    tiers = resample.lift_tiers(materialise(evidence.measured(_replies(spark, sf_dir)), "measured")).select("result_id", "tier")
+    return gaps.join(tiers.where("tier is not null"), "result_id").groupBy("tier", "operator").agg(F.count("gap").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"))
+
+
+def cross_model_replies(spark, sf_dir):
+    """Agreement between models on the same instance, by dataset and strategy, raw and adjusted."""
+    rows = _replies(spark, sf_dir)
+    last = rows.groupBy("dataset", "instance_id", "model").agg(F.max_by(F.struct("H", "R", "CF", "RO", "vocabulary"), "result_id").alias("x")).select("dataset", "instance_id", "model", "x.*")
+    out = crossmodel.agreement(crossmodel.model_pairs(materialise(last, "models")))
+    return out.select("dataset", "strategy", "n_pairs", F.round("mean_jaccard", 6).alias("mean_jaccard"), "n_adjusted", F.round("mean_aj", 6).alias("mean_aj"))
+
+
+def correctness_split(spark, sf_dir):
+    """Agreement of replies with a right and a wrong prediction, and rates over all replies, at every level."""
+    truth = table(spark, sf_dir, "instance_results").select("result_id", F.lower(F.trim("ground_truth_label")).alias("truth"), "model_refused", tx.is_refusal(F.col("raw_rationale")).alias("declined"))
+    rows = evidence.measured(_replies(spark, sf_dir)).join(truth, "result_id")
+    rows = rows.withColumns({"right": F.lower(F.trim("predicted_label")) == F.col("truth"), "changed_share": minimality(F.size("cf_changed"), F.size(tx.words(F.col("text"))))})
+    return aggregate.grouped(rows, {k: F.round(c, 6) if k.startswith("mean") or k.endswith("rate") or k == "accuracy" else c for k, c in aggregate.outcome_columns().items()})
+
+
 def free_cf_sensitivity(spark, sf_dir):
     """The scores with free rewrites as counterfactual evidence beside those with minimal ones."""
     rows = table(spark, sf_dir, "instance_results")
@@ -137,7 +162,7 @@ def execution_summary(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (cf_tradeoff_unpivot, coverage_rates, parse_failures, erasure_gap_tests, free_cf_sensitivity, ablation_delta, cf_minimality, execution_summary, parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates)
+    for f in (cf_tradeoff_unpivot, coverage_rates, parse_failures, erasure_gap_tests, free_cf_sensitivity, ablation_delta, cf_minimality, execution_summary, parsed_confidence, parsed_highlighting, parsed_rationale, parsed_rank_ordering, parsed_counterfactual, parse_funnel, reply_agreement, reply_aggregates, weighted_null, confidence_correlation, erasure_rates, erasure_tier_gaps, cross_model_replies, correctness_split)
 }
 ORACLE = {
     "execution_summary": """SELECT count(*) AS rows, count(DISTINCT lower(trim(model))) AS models, count(DISTINCT dataset) AS datasets, count(*) FILTER (model_refused) AS refused,

@@ -42,17 +42,22 @@ def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(F.col("m")[c], F.lit("")).alias(c) for c in CORE], F.map_filter("m", lambda k, v: ~k.isin(*CORE)).alias("metadata"))
 
 
+def _place() -> list:
+    """Where a line comes from: its file and the start of the part of the file that was read with it."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+
+
 def _last(rows: DataFrame, key: str) -> DataFrame:
-    """The last row per key in file order, at the place of the key's first."""
-    order = rows.withColumn("_at", F.monotonically_increasing_id())
-    cols = [c for c in rows.columns if c != key]
+    """The last row per key, at the place of the key's first: files by name, lines in their order."""
+    cols = [c for c in rows.columns if c not in (key, "_file", "_start")]
+    order = rows.withColumn("_at", F.struct("_file", "_start", F.monotonically_increasing_id().alias("line")))
     return order.groupBy(key).agg(F.min("_at").alias("_first"), F.max_by(F.struct(*cols), "_at").alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in cols], "_first").orderBy("_first").drop("_first")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """instance_id, decision, reason; of an id's lines the last counts."""
     schema = "instance_id string, decision string, reason string"
-    rows = read_lines(spark, path).select(F.from_json("value", schema).alias("x")).select("x.*").where("instance_id is not null")
+    rows = read_lines(spark, path).select(F.from_json("value", schema).alias("x"), *_place()).select("x.*", "_file", "_start").where("instance_id is not null")
     return _last(rows, "instance_id")
 
 
@@ -73,7 +78,7 @@ def read_aggregates(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, path: str, key: str = "instance_id") -> DataFrame:
     """Checkpointed records as key and value (the JSON line): last wins, in the order of first occurrence."""
-    rows = read_lines(spark, path).select(F.get_json_object("value", f"$.{key}").alias(key), "value").where(F.col(key).isNotNull())
+    rows = read_lines(spark, path).select(F.get_json_object("value", f"$.{key}").alias(key), "value", *_place()).where(F.col(key).isNotNull())
     return _last(rows, key)
 
 
