@@ -63,6 +63,41 @@ def json_object_of(reply: str) -> str | None:
     return None
 
 
+def _score(v) -> float | None:
+    return float(v) if isinstance(v, (bool, int, float)) and abs(v) < 1e300 else None
+
+
+def salience_of(reply: str) -> list[dict] | None:
+    """word and score of each entry of a reply's salience: pairs, objects of one key, or an object of word: score; None without
+    a JSON object."""
+    text = json_object_of(reply)
+    if text is None or "NaN" in text or "Infinity" in text:
+        try:
+            json.loads(text or "x", parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            return None
+    held = json.loads(text).get("salience")
+    if isinstance(held, dict):
+        return [{"word": k, "score": _score(v)} for k, v in held.items()]
+    out = []
+    for e in held if isinstance(held, list) else []:
+        if isinstance(e, list) and len(e) == 2:
+            out.append({"word": e[0] if isinstance(e[0], str) else None, "score": _score(e[1])})
+        elif isinstance(e, dict) and len(e) == 1:
+            word, value = next(iter(e.items()))
+            out.append({"word": word, "score": _score(value)})
+    return out
+
+
+def salience(reply: Column) -> Column:
+    @F.pandas_udf("array<struct<word:string,score:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(salience_of, na_action="ignore")
+
+    return run(reply)
+
+
 def extract_json(reply: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -64,30 +64,19 @@ def classification(rows: DataFrame, reply: str, labels: Column) -> DataFrame:
 def highlighting(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
     """rows with h_top (the dynamic_k most salient normal forms), h_weights (map of all) and h_error. Pairs, one-key objects
     or an object of word: score; of a word the largest score; under two valid entries is an error."""
-    pair = "struct<word:string,score:double>"
-    score = "case when schema_of_variant({0}) rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|TINYINT|SMALLINT|BOOLEAN)' then coalesce(try_variant_get({0}, '$', 'double'), cast(try_variant_get({0}, '$', 'boolean') as int)) end"
-    string = "case when schema_of_variant({0}) = 'STRING' then try_variant_get({0}, '$', 'string') end"
-    listed = f"""transform(try_variant_get(_obj, '$.salience', 'array<variant>'), e -> case
-      when schema_of_variant(e) like 'ARRAY%' and size(try_variant_get(e, '$', 'array<variant>')) = 2
-        then named_struct('word', {string.format("variant_get(e, '$[0]')")}, 'score', {score.format("variant_get(e, '$[1]')")})
-      when schema_of_variant(e) like 'OBJECT%' and size(cast(e as map<string,variant>)) = 1
-        then named_struct('word', map_keys(cast(e as map<string,variant>))[0], 'score', {score.format("map_values(cast(e as map<string,variant>))[0]")}) end)"""
-    mapped = f"transform(map_entries(cast(variant_get(_obj, '$.salience') as map<string,variant>)), e -> named_struct('word', e.key, 'score', {score.format('e.value')}))"
-    kind = "schema_of_variant(variant_get(_obj, '$.salience'))"
-    entries = F.expr(f"case when {kind} like 'ARRAY%' then {listed} when {kind} like 'OBJECT%' then {mapped} end").cast(f"array<{pair}>")
-    out = settled(with_object(rows, reply), {"_e": F.array_compact(entries), "_in": tx.input_words(F.col(text))})
+    out = settled(rows.withColumn("_e", kernels.salience(F.col(reply))), {"_in": tx.input_words(F.col(text))})
     good = F.filter("_e", lambda e: (e["score"] >= 1) & tx.is_single_word(e["word"]) & (F.btrim(e["word"], F.lit(_PADDING)) != "") & F.array_contains(F.col("_in"), tx.pre_normalize(e["word"])))
     out = settled(out, {"_n": F.filter(F.transform(good, lambda e: F.struct(tx.normalize(e["word"]).alias("word"), e["score"].alias("score"))), lambda e: e["word"].isNotNull())})
     # sorted by word and falling score, the first of each word has its largest score
     out = settled(out, {"_s": F.array_sort(F.transform("_n", lambda e: F.struct(e["word"].alias("word"), (-e["score"]).alias("o"))))})
     lead = F.filter("_s", lambda e, i: (i == 0) | (F.get(F.col("_s"), i - 1)["word"] != e["word"]))
     out = settled(out, {"_best": F.transform(lead, lambda e: F.struct(e["word"].alias("word"), (-e["o"]).alias("score")))})
-    error = F.when(F.col(reply).isNull(), "no reply").when(F.col("_obj").isNull(), "no JSON object").when(F.coalesce(F.size("_e"), F.lit(0)) <= 0, "no salience").when(F.size("_best") < 2, "under two entries")
+    error = F.when(F.col(reply).isNull(), "no reply").when(F.col("_e").isNull(), "no JSON object").when(F.coalesce(F.size("_e"), F.lit(0)) <= 0, "no salience").when(F.size("_best") < 2, "under two entries")
     ranked = F.transform(F.array_sort(F.transform("_best", lambda e: F.struct((-e["score"]).alias("o"), e["word"].alias("word")))), lambda e: e["word"])
     k = tx.dynamic_k(F.size(tx.stripped_words(F.col(text))), F.size("_best"))
     out = out.withColumn("h_error", error)
     ok = F.col("h_error").isNull()
-    return out.withColumns({"h_top": F.when(ok, F.slice(ranked, 1, F.greatest(k, F.lit(1)))), "h_weights": F.when(ok, F.map_from_entries("_best"))}).drop("_obj", "_e", "_in", "_n", "_s", "_best")
+    return out.withColumns({"h_top": F.when(ok, F.slice(ranked, 1, F.greatest(k, F.lit(1)))), "h_weights": F.when(ok, F.map_from_entries("_best"))}).drop("_e", "_in", "_n", "_s", "_best")
 
 
 def rationale(rows: DataFrame, reply: str, text: str = "text") -> DataFrame:
